@@ -130,8 +130,8 @@ def content_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     count as often as they stand. An empty table gives an empty result; other columns are ignored.
     """
     narrow = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
-    seen = classes(narrow.mapInArrow(_digest_batches, "row_id bigint, seq binary, root binary"))
-    seen = cut(seen.select("row_id", "cls"), "layout")
+    raw = cut(narrow.mapInArrow(_digest_batches, "row_id bigint, seq binary, root binary"), "digests")
+    seen = cut(classes(raw).select("row_id", "cls"), "layout")
     twice = seen.groupBy("cls").count().where("count > 1").select("cls")
     rows = seen.join(twice, "cls", "left_semi")
     small = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

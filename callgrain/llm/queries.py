@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from callgrain.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.splits import cross_split_pairs
+
+    return cross_split_pairs(table(spark, d, "count_analysis"), "rec_id", "text", "split")
+
+
+def p2_overlap_report(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.splits import overlap_report
+
+    return overlap_report(table(spark, d, "count_analysis"), "rec_id", "text", "split", "source")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.layout import content_groups
 
@@ -21,6 +33,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(table(spark, d, "count_analysis"), "rec_id", "text")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.encode import encode_corpus
+
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.leakage import leak_report
+
+    return leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 

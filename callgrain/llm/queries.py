@@ -51,6 +51,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.residue import residue
+
+    return residue(table(spark, d, "documents"), "doc_id", "text", "source").select("doc_id")
+
+
+def p10_messages(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.residue import messages
+
+    return messages(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 

@@ -84,9 +84,9 @@ def merkle(tree: object) -> bytes:
     return hashlib.blake2b(b"node" + b"".join(children), digest_size=16).digest()
 
 
-def digests(texts: list[str]) -> tuple[list[bytes | None], list[bytes | None]]:
+def digests(texts: list[str], words: tc.Words | None = None) -> tuple[list[bytes | None], list[bytes | None]]:
     """Of each text of a chunk: the digest of its letters and digits in order, and its Merkle root if it is a record."""
-    a, b = tc.sequence_digests(tc.words_of(texts))
+    a, b = tc.sequence_digests(words or tc.words_of(texts))
     raw = np.stack([a, b], 1).tobytes()
     seq = [raw[16 * i : 16 * i + 16] if x else None for i, x in enumerate(a)]
     return seq, [None if s is None or (tree := parse_record(t)) is None else merkle(tree) for t, s in zip(texts, seq)]

@@ -43,8 +43,9 @@ def _sketcher(common: np.ndarray, counts: np.ndarray):
     def run(batches):
         for batch in batches:
             for first, part in tc.chunks(batch.column(1).to_pylist()):
-                seq, root = layout.digests(part)
-                b = tc.bags_of(part)
+                words = tc.words_of(part)
+                seq, root = layout.digests(part, words)
+                b = tc.bags_of(part, words)
                 at = np.minimum(np.searchsorted(common, b.element), max(len(common) - 1, 0))
                 rank = np.where(common[at] == b.element, counts[at], 0) if len(common) else np.zeros(len(b.element), np.int64)
                 order = np.lexsort((b.element, rank, b.doc))

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from callgrain.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.turns import clean_turns
+
+    return clean_turns(table(spark, d, "filter_transcripts"), "source_file", "original_text", "loaded_at").drop("text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.splits import cross_split_pairs
 

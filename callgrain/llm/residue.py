@@ -1,87 +1,165 @@
 """Template residue, filler and error-page text (problem 10).
 
 Candidate units are whole documents without speaker labels and single turns. Their numbers, addresses and trailing
-marks are masked, and exact hashes of the masked text are grouped across sources. Phrase and placeholder rules then
+marks are masked, and exact hashes of the masked units are grouped across sources. Phrase and placeholder rules then
 classify the groups: strong rules decide alone; weak ones need a message that recurs widely, in MANY_SOURCES sources
 and MANY_DOCS documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MANY_DOCS, MANY_SOURCES = 3, 2
 #: Most words beside messages and menus in a document that consists of a message.
 REST_WORDS = 12
 
+REASONS = ("placeholder", "stub", "filler", "scripts", "error")
+VOICES = r"(?:caller|receiver|scammer|victim|customer|agent|callee|narrator|(?:person|speaker|spk|s)[ _-]?\d+)"
 #: Labels before turns.
-LABEL = r"(?im)^[\s\p{P}\p{S}]*(?:caller|receiver|scammer|victim|customer|agent|callee|narrator)\b[\s*\])\"'”]*[:>\-\])]"
+LABEL = re.compile(rf"^[\W_]*{VOICES}\b[\s*\])\"'”]*[:>\-\])]+", re.M)
 #: Names of slots in templates. Fixed values.
 SLOTS = "name|amount|city|company|victim|ref_no|otp_code|date_of_call|bank_name|caller_name|date|time|place|phone|email|address|bank|caller|number|code|title|location"
 #: Sound notes that use the same brackets as slots. Fixed values.
-NOTES = "crosstalk|sigh|sighs|laughs?|laughter|laughing|inaudible|unclear|music|noise|background noise|pause|silence|coughs?|applause|phone ringing|ringing|typing sounds?|line drops|beep|static|cries|crying|whispers?"
-VOICES = r"(?:caller|receiver|scammer|victim|customer|agent|callee|narrator|person|speaker|spk|s)[ _-]?\d*"
+NOTES = "crosstalk|sighs?|laughs?|laughter|laughing|inaudible|unclear|music|noise|background noise|pause|silence|coughs?|applause|phone ringing|ringing|typing sounds?|line drops|beep|static|cries|crying|whispers?"
 
 _SLOT = rf"(?:{SLOTS.replace('_', '[_ ]')})"
-_ANY = r"[\p{L}][\p{L}\d_ .-]{0,40}"
-#: Ways in which templates mark a slot that was to be filled.
-STRONG_SLOT = "|".join(
-    [
-        rf"\{{\{{\s*{_ANY}\}}\}}",
-        rf"\{{%\s*{_ANY}%\}}",
-        rf"\$\{{\s*{_ANY}\}}",
-        rf"\[\[\s*{_ANY}\]\]",
-        rf"<<\s*{_ANY}>>",
-        r"__[\p{L}][\p{L}\d]*(?:_[\p{L}\d]+)*__",
-        rf"@@{_ANY}@@",
-        r"%\([\p{L}_]+\)[sd]",
-        r"\[\s*(?:insert|your|enter|add)\s+[\p{L}_ ]{1,40}\]",
-        rf"\{{\s*{_SLOT}\s*\}}",
-        rf"<\s*{_SLOT}\s*>",
-        r"[{<]\s*[\p{L}]+_[\p{L}_]+\s*[}>]",
-    ]
+_ANY = r"[^\W\d_][\w .-]{0,40}"
+#: Ways in which templates mark a slot that was to be filled, in lower case.
+STRONG_SLOT = re.compile(
+    "|".join(
+        [
+            rf"\{{\{{\s*{_ANY}\}}\}}",
+            rf"\{{%\s*{_ANY}%\}}",
+            rf"\$\{{\s*{_ANY}\}}",
+            rf"\[\[\s*{_ANY}\]\]",
+            rf"<<\s*{_ANY}>>",
+            r"__[^\W\d_]+(?:_[^\W_]+)*__",
+            rf"@@{_ANY}@@",
+            r"%\([^\W\d]+\)[sd]",
+            r"\[\s*(?:insert|your|enter|add)\s+[^\W\d][\w ]{0,40}\]",
+            rf"\{{\s*{_SLOT}\s*\}}",
+            rf"<\s*{_SLOT}\s*>",
+            r"[{<]\s*[^\W\d_]+_[^\W\d]+\s*[}>]",
+        ]
+    )
 )
 #: Brackets that may be a slot; only widely recurring ones count, and sound notes and labels never do.
-WEAK_SLOT = rf"[{{<](?!\s*(?:{NOTES}|{VOICES})\s*[}}>])\s*[\p{{L}}]+(?: [\p{{L}}]+)?\s*[}}>]"
-#: Turns that were never written.
-STUB = r"^[\s\p{P}]*(?:\[?object object\]?|(?:todo|tbd|fixme|xxx)\b.*|undefined|null|nan|[<\[({]?\s*(?:dialogue|dialog|text|transcript|content|turn|line)s? (?:goes|go|comes) here\s*[>\])}]?|[<\[({]?\s*(?:insert|add|write|your) (?:\w+ )?(?:dialogue|dialog|text|transcript|content|turn|line)(?: here)?\s*[>\])}]?)[\s\p{P}]*$"
+WEAK_SLOT = re.compile(rf"[{{<](?!\s*(?:{NOTES}|{VOICES})\s*[}}>])\s*[^\W\d_]+(?: [^\W\d_]+)?\s*[}}>]")
+_BRACKETS = ("{", "<", "[", "__", "@@", "%(")
+#: Turns that were never written, in lower case and without a label.
+STUB = re.compile(
+    r"[\W_]*(?:\[?object object\]?|(?:todo|tbd|fixme|xxx)\b.*|undefined|null|nan"
+    r"|(?:dialogue|dialog|text|transcript|content|turn|line)s? (?:goes|go|comes) here"
+    r"|(?:insert|add|write|your) (?:\w+ )?(?:dialogue|dialog|text|transcript|content|turn|line)(?: here)?)[\W_]*"
+)
+_STUBS = ("object object", "todo", "tbd", "fixme", "xxx", "undefined", "null", "nan", " here", "dialog", "transcript", "content", " text", "turn", "line")
 
-_ON = r"(?:enable|activate|active[rz]?|activ\w*|allow|turn\w*|switch\w*|needs?|require\w*|run|chalu|disabled|blocked|support\w*)"
+_ON = r"(?:enabl\w*|activ\w*|allow\w*|turn\w*|switch\w*|needs?|requir\w*|runs?|chalu|disabled|blocked|support\w*)"
+_SCRIPT = r"(?:java ?script|scripts?|cookies)"
 #: Notices that scripts are required.
-SCRIPTS = rf"{_ON}\b.{{0,60}}\b(?:java ?script|scripts?|cookies)\b|\b(?:java ?script|scripts?|cookies)\b.{{0,60}}\b{_ON}\b|checking your browser"
+SCRIPTS = re.compile(rf"\b{_ON}\b.{{0,60}}\b{_SCRIPT}\b|\b{_SCRIPT}\b.{{0,60}}\b{_ON}\b|checking your browser")
+_SCRIPT_WORDS = ("script", "cookies", "browser")
 #: Messages of servers and programs.
-ERRORS = "|".join(
-    [
-        r"\b(?:error|http|code|código|codigo|status|répondu|server\b.{0,40})[\s:\"]*\W{0,4}[45]\d\d\b",
-        r"\b[45]\d\d\b.{0,30}(?:error|not found|forbidden|gateway|time-?out|unavailable|too many requests|bad request|unauthorized|aaya)",
-        r"page (?:not found|introuvable)|pas pu être trouvé|no se (?:pudo|puede) encontrar la página|page (?:you asked for|you requested|abhi)",
-        r"something went wrong|no longer available|may have been (?:moved|removed)|could not be (?:loaded|found)|has been removed",
-        r"access denied|permission to (?:view|access)|session (?:has )?expired|sign in to .{1,40} again|please (?:refresh|reload) the page",
-        r"traceback \(most recent call last\)|\b\w*(?:error|exception): |internal server error|bad gateway|gateway time-?out|service unavailable",
-        r"uplabdh nahi|réessayez plus tard|inténtelo más tarde|try (?:again )?later|thodi der baad koshish",
-    ]
+ERRORS = re.compile(
+    "|".join(
+        [
+            r"\b(?:error|http|code|código|codigo|status|répondu)\b\W{0,6}[45]\d\d\b|\bserver\b.{0,40}[45]\d\d\b",
+            r"\b[45]\d\d\b.{0,30}(?:error|not found|forbidden|gateway|time-?out|unavailable|too many requests|bad request|unauthorized|aaya)",
+            r"page (?:not found|introuvable)|pas pu être trouvé|no se (?:pudo|puede) encontrar la página|page (?:you asked for|you requested|abhi)",
+            r"something went wrong|no longer available|may have been (?:moved|removed)|could not be (?:loaded|found)|has been removed",
+            r"access denied|permission to (?:view|access)|session (?:has )?expired|sign in to .{1,40} again|please (?:refresh|reload) the page",
+            r"traceback \(most recent call last\)|(?:error|exception): |internal server error|bad gateway|gateway time-?out|service unavailable",
+            r"uplabdh nahi|réessayez plus tard|inténtelo más tarde|try (?:again )?later|thodi der baad koshish",
+        ]
+    )
 )
+#: What stands beside a message: menus, addresses, lines of a trace.
+BESIDE = re.compile(r"[^\W\d_]{2,20}(?:(?:\s*[|»>]\s*|\s{2,})[^\W\d_]{2,20}){1,8}|file \".*|.*\bproxy, request\b.*|\S+\.example\b.*")
+#: What pages are about; a text that says little else counts where it recurs widely.
+PAGE = re.compile(r"\b(?:page|browser|server|scripts?|site|website|cookies|loading|captcha|login|refresh|reload)\b")
 #: Words of filler text in mock Latin. Fixed values.
-LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua dolum velit ameno ferata mundi orbis ignis lumea quasta sitra nulli corpa tempu bellor venra".split()
-MENU = r"^[\p{L} ]{2,20}(?:(?:\s*[|»>]\s*|\s{2,})[\p{L} ]{2,20}?){1,8}$"
-_WORD = r"[\p{L}\p{M}\p{N}]+"
+LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua dolum velit ameno ferata mundi orbis ignis lumea quasta sitra nulli corpa tempu bellor venra".split())
+WORD = re.compile(r"[^\W_]+")
+
+_ADDRESS = re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|net|org|in|test)\b(?:/\S*)?")
+_MARK = re.compile(r"\([^()\n]*\d[^()\n]*\)")
+_CODE = re.compile(r"\w*\d[\w/:.\-]*")
+
 
+def masked(text: str) -> str:
+    """Lower case, with addresses, bracketed marks, dates, codes and numbers replaced, and single spaces."""
+    t = _CODE.sub("0", _MARK.sub("(0)", _ADDRESS.sub("<addr>", text.lower())))
+    return " ".join(t.split())
 
-def masked(text: Column) -> Column:
-    """Text with addresses, codes, numbers and a trailing bracketed mark replaced, lower case, one space for any white space."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|net|org|in|test)\b(?:/\S*)?", "<addr>")
-    t = F.regexp_replace(t, r"\([^()\n]*\d[^()\n]*\)", "(0)")
-    t = F.regexp_replace(t, r"\b(?=\w*\d)\w+(?:[-/:.]\w+)*\b", "0")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def _is_filler(words: Column) -> Column:
+
+def is_filler(words: list[str]) -> bool:
     """A few words over and over, or mock Latin."""
-    n, kinds = F.size(words), F.size(F.array_distinct(words))
-    latin = F.size(F.filter(words, lambda w: w.isin(LATIN)))
-    return ((n >= 5) & (kinds <= 5) & (n >= 3 * (kinds - 1))) | ((latin >= 3) & (latin * 2 >= n))
+    n, kinds = len(words), set(words)
+    if n >= 5 and len(kinds) <= 5 and n >= 3 * (len(kinds) - 1):
+        return True
+    if kinds.isdisjoint(LATIN):
+        return False
+    latin = sum(w in LATIN for w in words)
+    return latin >= 3 and latin * 2 >= n
+
+
+def classify(text: str) -> tuple[str | None, list[tuple[str, int]]]:
+    """The reason that a strong rule gives, if any, else the weak signs (reason, hash of the masked unit)."""
+    low = text.lower()
+    brackets = any(b in low for b in _BRACKETS)
+    if brackets and STRONG_SLOT.search(low):
+        return "placeholder", []
+    labelled = LABEL.search(low) is not None
+    lines = None
+    if any(s in low for s in _STUBS):
+        lines = [LABEL.sub("", x).strip() for x in low.split("\n")]
+        # beside a label or other turns a stub is a turn; alone it is filler
+        if any(STUB.fullmatch(x) for x in lines if x):
+            return "stub", []
+    if is_filler(WORD.findall(LABEL.sub("", low) if labelled else low)):
+        return "filler", []
+    weak: list[tuple[str, int]] = []
+    if brackets:
+        weak = [("placeholder", _hash(x)) for x in sorted(set(WEAK_SLOT.findall(low)))]
+    if not labelled:
+        scripts = any(s in low for s in _SCRIPT_WORDS) and SCRIPTS.search(low) is not None
+        errors = not scripts and ERRORS.search(low) is not None
+        page = scripts or errors or PAGE.search(low) is not None
+        if page:
+            rest = 0
+            for x in lines or low.split("\n"):
+                x = x.strip()
+                if x and not SCRIPTS.search(x) and not ERRORS.search(x) and not BESIDE.fullmatch(x):
+                    rest += len(WORD.findall(x))
+            if rest <= REST_WORDS and (scripts or errors):
+                return ("scripts" if scripts else "error"), []
+            if rest <= 3 * REST_WORDS:
+                weak.append(("error", _hash(masked(text))))
+    return None, weak
+
+
+def _classified(batches):
+    for batch in batches:
+        ids, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        doc, source, reason, unit = [], [], [], []
+        for i, s, t in zip(ids, sources, batch.column(2).to_pylist()):
+            strong, weak = classify(t)
+            for r, h in [(strong, None)] if strong else weak:
+                doc.append(i)
+                source.append(s)
+                reason.append(r)
+                unit.append(h)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(source, pa.string()), pa.array(reason, pa.string()), pa.array(unit, pa.int64())], ["doc_id", "source", "reason", "unit"])
 
 
 def residue(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -91,49 +169,24 @@ def residue(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     row. Null sources count as one source. A document has one row, with its first reason in the order above.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(source_col, F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("low", F.lower("text"))
-    hint = rf"[{{<\[@$%_]{{1,2}}|todo|tbd|fixme|xxx|undefined|null|\bnan\b|here|script|cookies|browser|[45]\d\d|page|página|wrong|longer|denied|expired|traceback|error|unavailable|later|tard|koshish|timeout|removed"
-    labelled = F.col("text").rlike(LABEL)
-    docs = docs.withColumn("labelled", labelled).where(~F.col("labelled") | F.col("low").rlike(hint))
-    lines = F.filter(F.transform(F.split("low", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, LABEL, ""))), lambda x: x.rlike(_WORD))
-    docs = docs.withColumn("lines", lines)
-    message = lambda x: x.rlike(SCRIPTS) | x.rlike(ERRORS)
-    rest = F.filter("lines", lambda x: ~message(x) & ~x.rlike(MENU) & ~x.rlike(r"^\s*file \"|^\W*<addr>|proxy, request|^\S+\.example\b"))
-    n_rest = F.aggregate(rest, F.lit(0), lambda acc, x: acc + F.regexp_count(x, F.lit(_WORD)))
-    about = ~F.col("labelled") & (n_rest <= REST_WORDS)
-    words = F.when(~F.col("labelled"), F.regexp_extract_all("low", F.lit(f"({_WORD})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    seen = docs.select(
-        "doc_id",
-        "source",
-        "text",
-        "lines",
-        "low",
-        F.col("low").rlike(STRONG_SLOT).alias("slot"),
-        F.regexp_extract_all("low", F.lit(f"({WEAK_SLOT})"), F.lit(1)).alias("weak"),
-        F.exists("lines", lambda x: x.rlike(STUB)).alias("stub"),
-        _is_filler(words).alias("filler"),
-        (about & F.col("low").rlike(SCRIPTS)).alias("scripts"),
-        (about & F.col("low").rlike(ERRORS)).alias("errors"),
-        about.alias("about"),
-    )
-    strong = seen.withColumn("reason", F.when(F.col("slot"), "placeholder").when(F.col("stub"), "stub").when(F.col("filler"), "filler").when(F.col("scripts"), "scripts").when(F.col("errors"), "error"))
-    decided = strong.where("reason IS NOT NULL").select("doc_id", "reason")
-    # weak signs: brackets that may be slots, and short texts that say little else; they count where they recur widely
-    open_ = strong.where("reason IS NULL")
-    page = r"\b(?:page|browser|server|script|site|website|cookies|loading|captcha|login|refresh|reload)\b"
-    unit = F.when(F.size("weak") > 0, F.transform(F.array_distinct("weak"), lambda x: F.struct(F.lit("placeholder").alias("reason"), F.xxhash64(x).alias("h"))))
-    unit = unit.when(F.col("about") & F.col("low").rlike(page), F.array(F.struct(F.lit("error").alias("reason"), F.xxhash64(masked(F.col("text"))).alias("h"))))
-    units = open_.select("doc_id", "source", F.explode(unit).alias("u")).select("doc_id", "source", "u.reason", "u.h")
-    groups = units.groupBy("reason", "h", "source").agg(F.count("*").alias("n")).groupBy("reason", "h").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
-    wide = groups.where((F.col("n") >= MANY_DOCS) & (F.col("sources") >= MANY_SOURCES)).select("reason", "h")
-    more = units.join(wide, ["reason", "h"]).select("doc_id", "reason")
-    rank = F.when(F.col("reason") == "placeholder", 1).when(F.col("reason") == "stub", 2).when(F.col("reason") == "filler", 3).when(F.col("reason") == "scripts", 4).otherwise(5)
-    return decided.union(more).groupBy("doc_id").agg(F.min_by("reason", rank).alias("reason"))
+    signs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_classified, "doc_id bigint, source string, reason string, unit bigint")
+    # one pass over the texts: a group's size goes to its documents by a join of signs, which are few, with their counts
+    groups = signs.where("unit IS NOT NULL").groupBy("reason", "unit", "source").agg(F.count("*").alias("n")).groupBy("reason", "unit").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
+    wide = groups.where((F.col("n") >= MANY_DOCS) & (F.col("sources") >= MANY_SOURCES)).select("reason", "unit", F.lit(True).alias("wide"))
+    sure = signs.join(wide, ["reason", "unit"], "left").where("unit IS NULL OR wide")
+    rank = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
+    return sure.groupBy("doc_id").agg(F.min_by("reason", rank).alias("reason"))
+
+
+def _masked_batches(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([masked(t) for t in batch.column(2).to_pylist()], pa.string())], ["reason", "source", "message"])
 
 
 def messages(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The masked messages that residue consists of: (reason, n_docs, n_sources, message), over all documents."""
     bad = residue(df, id_col, text_col, source_col).where("reason IN ('filler', 'scripts', 'error')")
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(source_col, F.lit("")).alias("source"), masked(F.col(text_col)).alias("message"))
-    each = docs.join(bad, "doc_id").groupBy("reason", F.sha2("message", 256).alias("hash"), "source").agg(F.count("*").alias("n"), F.min("message").alias("message"))
-    return each.groupBy("reason", "hash").agg(F.sum("n").cast("bigint").alias("n_docs"), F.count("*").alias("n_sources"), F.min("message").alias("message")).drop("hash")
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(source_col, F.lit("")).alias("source"), F.col(text_col).alias("text"))
+    each = docs.join(bad, "doc_id").select("reason", "source", "text").mapInArrow(_masked_batches, "reason string, source string, message string")
+    each = each.groupBy("reason", "message", "source").agg(F.count("*").alias("n"))
+    return each.groupBy("reason", "message").agg(F.sum("n").cast("bigint").alias("n_docs"), F.count("*").alias("n_sources"))

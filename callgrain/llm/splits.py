@@ -21,19 +21,19 @@ from callgrain.llm import textcodes as tc
 from callgrain.session import cut
 
 THRESHOLD = 0.8
-BITS, RADIUS = 128, 38
-FAR, MISS = 0.14, 0.01
+BITS, RADIUS = 128, 30
+FAR, MISS = 0.14, 0.03
 #: Elements in more than this share of all bags weigh less, by the logarithm of their share.
 COMMON = 1 / 20
 TRAIN = "train"
 
-SCHEMA = "row_id bigint, seq binary, root binary, bag binary, n int, code_a bigint, code_b bigint, blocks array<bigint>"
+SCHEMA = "row_id bigint, seq binary, root binary, bag binary, n int, code_a bigint, code_b bigint, blocks array<int>"
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), 1.0, -1.0)
 
 
 def block_plan(n_bags: int) -> tuple[int, int]:
     """(bits of a block, number of permutations) for so many bags."""
-    width = min(40, max(8, math.ceil(math.log2(n_bags + 2)) - 6))
+    width = min(24, max(8, math.ceil(math.log2(n_bags + 2)) - 7))
     return width, math.ceil(math.log(1 / MISS) / (1 - FAR) ** width)
 
 
@@ -60,12 +60,13 @@ def _coder(common: np.ndarray, share: np.ndarray, width: int, tables: int):
     def run(batches):
         for batch in batches:
             for first, part in tc.chunks(batch.column(1).to_pylist()):
-                seq, root = layout.digests(part)
-                b = tc.bags_of(part)
+                words = tc.words_of(part)
+                seq, root = layout.digests(part, words)
+                b = tc.bags_of(part, words)
                 bits = fingerprints(b, len(part), common, share)
                 code = np.packbits(bits, axis=1).view(np.int64)
                 block = bits[:, places].astype(np.int64) @ powers + (np.arange(tables, dtype=np.int64) << width)
-                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, tables, dtype=np.int32)), pa.array(block.ravel()))
+                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, tables, dtype=np.int32)), pa.array(block.ravel().astype(np.int32)))
                 digest = np.stack([b.key_a, b.key_b], 1).tobytes()
                 bag = [digest[16 * i : 16 * i + 16] if n else None for i, n in enumerate(b.size)]
                 yield pa.RecordBatch.from_arrays(

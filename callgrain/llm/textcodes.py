@@ -136,9 +136,9 @@ class Bags:
     key_b: np.ndarray
 
 
-def bags_of(texts: list[str]) -> Bags:
+def bags_of(texts: list[str], words: Words | None = None) -> Bags:
     """The multiset of words of each text as a set of elements; key_a and key_b digest the whole multiset."""
-    w = words_of(texts)
+    w = words or words_of(texts)
     size = np.bincount(w.doc, minlength=w.n_docs)
     key_a, key_b = np.zeros(w.n_docs, np.uint64), np.zeros(w.n_docs, np.uint64)
     if len(w.doc) == 0:

@@ -39,6 +39,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(table(spark, d, "count_analysis"), "rec_id", "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.language import language_cases
+
+    return language_cases(table(spark, d, "count_analysis"), "rec_id", "text", "lang")
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.language import segments
+
+    return segments(table(spark, d, "count_analysis"), "rec_id", "text", "lang")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.encode import encode_corpus
 

@@ -39,6 +39,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(table(spark, d, "count_analysis"), "rec_id", "text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.consensus import contested
+
+    return contested(table(spark, d, "compute_annotation_metrics"), table(spark, d, "annotator_sheets"))
+
+
+def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.consensus import answers, reliabilities
+
+    return reliabilities(answers(table(spark, d, "compute_annotation_metrics"), table(spark, d, "annotator_sheets")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.language import language_cases
 

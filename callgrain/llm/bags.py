@@ -77,19 +77,20 @@ def _bag_batches(batches):
             b = tc.bags_of(part)
             size = np.bincount(b.doc, minlength=len(part))
             offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array(b.element.view(np.int64)))
+            elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array((b.element >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), elements], ["bag_id", "elements"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) of bag ids those whose overlap is at least threshold, by their whole bags.
 
-    texts: (row_id, text); a bag's id is the row_id of one row that has it.
+    texts: (row_id, text); a bag's id is the row_id of one row that has it. Elements travel as 32 bits of their hashes:
+    two of the few hundred elements of a pair coincide in one pair of some 100,000, which then counts one word amiss.
     """
     need = pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct()
     small = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     own = texts.join(F.broadcast(need) if small else need, "row_id", "left_semi").dropDuplicates(["row_id"])
-    bags = own.select("row_id", "text").mapInArrow(_bag_batches, "bag_id bigint, elements array<bigint>")
+    bags = own.select("row_id", "text").mapInArrow(_bag_batches, "bag_id bigint, elements array<int>")
     a = bags.select(F.col("bag_id").alias("a"), F.col("elements").alias("ea"))
     b = bags.select(F.col("bag_id").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))

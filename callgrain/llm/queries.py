@@ -33,6 +33,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return content_groups(table(spark, d, "count_analysis"), "rec_id", "text")
 
 
+def _pii_parts(spark: SparkSession, d: str) -> list:
+    calls, files = table(spark, d, "count_analysis"), table(spark, d, "filter_transcripts")
+    return [("count_analysis", calls, "rec_id", "text", False), ("filter_transcripts", files, "source_file", "original_text", True)]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.identity import entities
+
+    return entities(_pii_parts(spark, d))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.identity import redacted
+
+    return redacted(_pii_parts(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.neardup import near_pairs
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm import textcodes as tc
+from callgrain.llm.sampling import bounded
 
 #: Most labelled rows that the classifiers are fitted on, the first by hash of their id.
 TRAIN_ROWS = 3000
@@ -187,8 +188,8 @@ def segments(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     Texts without a sentence of SENTENCE_WORDS words count as one sentence. Null and blank texts have no rows.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where("rec_id IS NOT NULL AND text IS NOT NULL")
-    labelled = rows.where("label IS NOT NULL AND trim(label) <> ''").select("text", "label", F.sha2(F.col("rec_id").cast("string"), 256).alias("h"))
-    sample = [(r.text, x) for r in labelled.orderBy("h", "text").limit(TRAIN_ROWS).collect() if (x := named_language(r.label))]
+    labelled = bounded(rows.where("label IS NOT NULL AND trim(label) <> ''"), F.col("rec_id"), TRAIN_ROWS)
+    sample = [(r.text, x) for r in labelled.select("text", "label").collect() if (x := named_language(r.label))]
     model = rows.sparkSession.sparkContext.broadcast(fit(sample))
 
     def run(batches):

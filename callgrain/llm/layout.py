@@ -27,7 +27,7 @@ BROADCAST_IDS = 500_000
 VOICES = {"caller", "receiver", "scammer", "victim", "customer", "agent", "callee", "narrator", "speaker", "person", "host"}
 
 _WORD = re.compile(r"[^\W_]+")
-_FIELD = re.compile(r"^[\W_]*([^\W\d][\w ]{0,30}?)[\"'*]*\s*(?:=|:|\s-\s)\s*(.*)$", re.S)
+_FIELD = re.compile(r"^[\W_]*([^\W\d][\w ]{0,30}?)[\"'*“”]*\s*(?:=|:|\s-\s)\s*(.*)$", re.S)
 _HINT = re.compile(r"^[^\n]{0,60}?[=:]|^[^\n]{0,60}?\s-\s")
 
 

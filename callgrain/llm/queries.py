@@ -114,5 +114,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+_WINDOWS = "unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' ')))"
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+P9_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items
+ UNION ALL SELECT item_id, {_WORDS.format("regexp_replace(text, '(?im)^[^a-z0-9]*(caller|receiver)[ ]*:', '', 'g')")} FROM eval_items),
+ x AS (SELECT doc_id, {_WINDOWS} AS g FROM d WHERE len(w) >= 12), y AS (SELECT DISTINCT item_id, {_WINDOWS} AS g FROM i WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries aren't expressible in SQL, or take it too long on whole tables; brute force in tests holds them."""
+    return {"p9_found": P9_SQL}

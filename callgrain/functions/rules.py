@@ -108,16 +108,25 @@ def _points(*rules: tuple[Column, float]) -> Column:
     return F.bround(F.least(total, F.lit(1.0)), 4)
 
 
-def dialogue_score(t: Column) -> Column:
-    hits = T.count_patterns(t, DIALOGUE_PATTERNS)
-    voices = F.size(F.array_distinct(F.regexp_extract_all(F.lower(T.text_or_empty(t)), F.lit(f"({SPEAKER_LABEL})"), F.lit(1))))
-    quotes = F.regexp_count(T.text_or_empty(t), F.lit(QUOTED))
+def signs(t: Column) -> dict[str, Column]:
+    """Counts that the scores are made of; put them into columns first, so that each pattern is counted once."""
+    return {
+        "words": T.word_count(t),
+        "cta": T.count_patterns(t, CTA_PATTERNS),
+        "tutorial": T.count_patterns(t, TUTORIAL_PATTERNS),
+        "told": T.count_patterns(t, NARRATION_PATTERNS),
+        "hits": T.count_patterns(t, DIALOGUE_PATTERNS),
+        "voices": F.size(F.array_distinct(F.regexp_extract_all(F.lower(T.text_or_empty(t)), F.lit(f"({SPEAKER_LABEL})"), F.lit(1)))),
+        "quotes": F.regexp_count(T.text_or_empty(t), F.lit(QUOTED)),
+    }
+
+
+def dialogue_score(hits: Column, voices: Column, quotes: Column) -> Column:
     return _points((hits >= 1, 0.35), (hits >= 3, 0.25), (hits >= 6, 0.20), (voices >= 2, 0.40), (quotes >= 2, 0.30))
 
 
-def narration_score(t: Column) -> Column:
-    hundreds = F.greatest(F.greatest(T.word_count(t), F.lit(1)) / F.lit(100.0), F.lit(1.0))
-    told, taught, asked = T.count_patterns(t, NARRATION_PATTERNS), T.count_patterns(t, TUTORIAL_PATTERNS), T.count_patterns(t, CTA_PATTERNS)
+def narration_score(words: Column, told: Column, taught: Column, asked: Column) -> Column:
+    hundreds = F.greatest(F.greatest(words, F.lit(1)) / F.lit(100.0), F.lit(1.0))
     return _points((told >= 2, 0.25), (told >= 5, 0.20), (taught >= 2, 0.30), (taught >= 5, 0.15), (asked >= 1, 0.20), (told / hundreds > 3, 0.10), (taught / hundreds > 3, 0.10))
 
 

@@ -28,12 +28,9 @@ _HITS = f"""WITH h AS (SELECT source_file, source_path, original_text, {_WC} AS
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Each transcript with its counts, scores and the outcome of the precheck; null texts count as empty."""
-    t = F.col("original_text")
-    s = table(spark, d, "filter_transcripts").select(
-        "source_file", "source_path", "original_text", T.word_count(t).alias("words"), F.length(T.text_or_empty(t)).cast("bigint").alias("chars"), T.sentence_count(t).alias("sentences"),
-        T.count_patterns(t, rules.CTA_PATTERNS).alias("cta"), T.count_patterns(t, rules.TUTORIAL_PATTERNS).alias("tutorial"), rules.dialogue_score(t).alias("dialogue_score"), rules.narration_score(t).alias("narration_score"),
-    )
-    c = F.col
+    t, c = F.col("original_text"), F.col
+    s = table(spark, d, "filter_transcripts").select("source_file", "source_path", "original_text", F.length(T.text_or_empty(t)).cast("bigint").alias("chars"), T.sentence_count(t).alias("sentences"), *[x.alias(k) for k, x in rules.signs(t).items()])
+    s = s.withColumn("dialogue_score", rules.dialogue_score(c("hits"), c("voices"), c("quotes"))).withColumn("narration_score", rules.narration_score(c("words"), c("told"), c("tutorial"), c("cta")))
     return s.withColumn("outcome", rules.precheck(c("words"), c("chars"), c("tutorial"), c("cta"), c("dialogue_score"), c("narration_score")))
 
 

@@ -11,11 +11,11 @@ def class_folders(spark: SparkSession, root: str, split: str | None = None, clas
 
     With classes (slug), files in other folders are left out.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(root)
-    path = F.col("_metadata.file_path")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)  # keeps empty files
+    path = F.col("path")
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace(F.url_decode(path), "^file:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    rows = raw.select(F.col("_metadata.file_name").alias("filename"), rel.alias("filepath"), F.split(rel, "/")[0].alias("true_class"), F.lit(split).alias("split"), F.make_valid_utf8("value").alias("text"))
+    rows = raw.select(F.regexp_extract(rel, "([^/]+)$", 1).alias("filename"), rel.alias("filepath"), F.split(rel, "/")[0].alias("true_class"), F.lit(split).alias("split"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return rows if classes is None else rows.join(F.broadcast(classes.select(F.col("slug").alias("true_class"))), "true_class", "left_semi").select(*rows.columns)
 
 

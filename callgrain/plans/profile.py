@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callgrain.functions import text as T
 from callgrain.plans.registry import query
-from callgrain.sources.tables import table
+from callgrain.sources.tables import spread, table
 
 TOK = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)?')"
 LENGTHS = f"""SELECT rec_id, coalesce(true_class, 'none') AS true_class, len({TOK})::BIGINT AS n_tokens, length(coalesce(text, ''))::BIGINT AS n_chars,
@@ -16,7 +16,7 @@ LENGTHS = f"""SELECT rec_id, coalesce(true_class, 'none') AS true_class, len({TO
 
 def lengths(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, characters, vocabulary and type-token ratio of each labelled document."""
-    t = table(spark, d, "count_analysis").select("rec_id", F.coalesce("true_class", F.lit("none")).alias("true_class"), F.length(T.text_or_empty(F.col("text"))).cast("bigint").alias("n_chars"), T.tokens(F.col("text")).alias("tok"))
+    t = spread(table(spark, d, "count_analysis").select("rec_id", "true_class", "text")).select("rec_id", F.coalesce("true_class", F.lit("none")).alias("true_class"), F.length(T.text_or_empty(F.col("text"))).cast("bigint").alias("n_chars"), T.tokens(F.col("text")).alias("tok"))
     n, u = F.size("tok").cast("bigint"), F.size(F.array_distinct("tok")).cast("bigint")
     return t.select("rec_id", "true_class", n.alias("n_tokens"), "n_chars", u.alias("n_unique"), T.ratio(u, n).alias("ttr"))
 

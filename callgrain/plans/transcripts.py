@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callgrain.functions import rules
 from callgrain.functions import text as T
 from callgrain.plans.registry import query
-from callgrain.sources.tables import table
+from callgrain.sources.tables import spread, table
 
 
 def _count_sql(patterns: list[str], t: str = "original_text") -> str:
@@ -29,7 +29,7 @@ _HITS = f"""WITH h AS (SELECT source_file, source_path, original_text, {_WC} AS
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Each transcript with its counts, scores and the outcome of the precheck; null texts count as empty."""
     t, c = F.col("original_text"), F.col
-    s = table(spark, d, "filter_transcripts").select("source_file", "source_path", "original_text", F.length(T.text_or_empty(t)).cast("bigint").alias("chars"), T.sentence_count(t).alias("sentences"), *[x.alias(k) for k, x in rules.signs(t).items()])
+    s = spread(table(spark, d, "filter_transcripts").select("source_file", "source_path", "original_text")).select("source_file", "source_path", "original_text", F.length(T.text_or_empty(t)).cast("bigint").alias("chars"), T.sentence_count(t).alias("sentences"), *[x.alias(k) for k, x in rules.signs(t).items()])
     s = s.withColumn("dialogue_score", rules.dialogue_score(c("hits"), c("voices"), c("quotes"))).withColumn("narration_score", rules.narration_score(c("words"), c("told"), c("tutorial"), c("cta")))
     return s.withColumn("outcome", rules.precheck(c("words"), c("chars"), c("tutorial"), c("cta"), c("dialogue_score"), c("narration_score")))
 

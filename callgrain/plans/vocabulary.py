@@ -9,14 +9,14 @@ from callgrain.functions import rules
 from callgrain.functions import text as T
 from callgrain.plans.profile import TOK
 from callgrain.plans.registry import query
-from callgrain.sources.tables import table
+from callgrain.sources.tables import spread, table
 
 ALPHA = "regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z]+')"
 TOKENS_SQL = f"SELECT rec_id, split, true_class, unnest({TOK}) AS token FROM count_analysis"
 
 
 def token_rows(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "count_analysis")
+    t = spread(table(spark, d, "count_analysis").select("rec_id", "split", "true_class", "text"))
     return t.select("rec_id", "split", "true_class", F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
@@ -101,7 +101,7 @@ _MAP = f"""WITH t AS (SELECT rec_id, true_class, {_LANG} AS l, unnest({ALPHA}) A
 def _alpha_rows(spark: SparkSession, d: str) -> DataFrame:
     first = F.lower(F.split_part("lang", F.lit("-"), F.lit(1)))
     lang = F.when(first.isin("en", "eng", "english"), "EN").when(first.isin("hi", "hin", "hindi"), "HI")
-    return table(spark, d, "count_analysis").select("rec_id", "true_class", lang.alias("l"), F.explode(T.alpha_tokens(F.col("text"))).alias("token"))
+    return spread(table(spark, d, "count_analysis").select("rec_id", "true_class", "lang", "text")).select("rec_id", "true_class", lang.alias("l"), F.explode(T.alpha_tokens(F.col("text"))).alias("token"))
 
 
 def token_languages(rows: DataFrame) -> DataFrame:

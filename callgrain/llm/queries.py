@@ -6,35 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrain.sources.tables import table
+from callgrain.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.turns import clean_turns
 
-    return clean_turns(table(spark, d, "filter_transcripts"), "source_file", "original_text", "loaded_at").drop("text")
+    return clean_turns(spread(table(spark, d, "filter_transcripts")), "source_file", "original_text", "loaded_at").drop("text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.splits import cross_split_pairs
 
-    return cross_split_pairs(table(spark, d, "count_analysis"), "rec_id", "text", "split")
+    return cross_split_pairs(spread(table(spark, d, "count_analysis")), "rec_id", "text", "split")
 
 
 def p2_overlap_report(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.splits import overlap_report
 
-    return overlap_report(table(spark, d, "count_analysis"), "rec_id", "text", "split", "source")
+    return overlap_report(spread(table(spark, d, "count_analysis")), "rec_id", "text", "split", "source")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.layout import content_groups
 
-    return content_groups(table(spark, d, "count_analysis"), "rec_id", "text")
+    return content_groups(spread(table(spark, d, "count_analysis")), "rec_id", "text")
 
 
 def _pii_parts(spark: SparkSession, d: str) -> list:
-    calls, files = table(spark, d, "count_analysis"), table(spark, d, "filter_transcripts")
+    calls, files = spread(table(spark, d, "count_analysis")), spread(table(spark, d, "filter_transcripts"))
     return [("count_analysis", calls, "rec_id", "text", False), ("filter_transcripts", files, "source_file", "original_text", True)]
 
 
@@ -53,7 +53,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.neardup import near_pairs
 
-    return near_pairs(table(spark, d, "count_analysis"), "rec_id", "text")
+    return near_pairs(spread(table(spark, d, "count_analysis")), "rec_id", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,43 +71,43 @@ def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.language import language_cases
 
-    return language_cases(table(spark, d, "count_analysis"), "rec_id", "text", "lang")
+    return language_cases(spread(table(spark, d, "count_analysis")), "rec_id", "text", "lang")
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.language import segments
 
-    return segments(table(spark, d, "count_analysis"), "rec_id", "text", "lang")
+    return segments(spread(table(spark, d, "count_analysis")), "rec_id", "text", "lang")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.encode import encode_corpus
 
-    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.leakage import leaks
 
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.leakage import leak_report
 
-    return leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leak_report(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.residue import residue
 
-    return residue(table(spark, d, "documents"), "doc_id", "text", "source").select("doc_id")
+    return residue(spread(table(spark, d, "documents")), "doc_id", "text", "source").select("doc_id")
 
 
 def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.residue import messages
 
-    return messages(table(spark, d, "documents"), "doc_id", "text", "source")
+    return messages(spread(table(spark, d, "documents")), "doc_id", "text", "source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -76,12 +76,12 @@ def label_confidence_filter(spark: SparkSession, d: str) -> DataFrame:
     return t.select("source_path", "det_precheck", ((F.upper(F.trim("det_precheck")) == "LIKELY_CONVERSATION") & (F.col("det_dialogue_score").try_cast("double") >= 0.65)).alias("kept"))
 
 
-@query("WITH f AS (SELECT source_file, count(*) AS loads FROM filter_transcripts GROUP BY 1) SELECT c.rec_id, f.loads FROM count_analysis c LEFT JOIN f ON c.filename = f.source_file WHERE c.split = 'external'")
+@query("WITH f AS (SELECT source_file, count(*) AS loads FROM filter_transcripts GROUP BY 1) SELECT c.rec_id, coalesce(f.loads, 0) AS loads FROM count_analysis c LEFT JOIN f ON c.filename = f.source_file WHERE c.split = 'external'")
 def verdict_join(spark: SparkSession, d: str) -> DataFrame:
     """A join that must match one row at most: the right side is made unique first."""
     f = table(spark, d, "filter_transcripts").groupBy("source_file").agg(F.count("*").alias("loads"))
     c = table(spark, d, "count_analysis").where("split = 'external'")
-    return c.join(f, c.filename == f.source_file, "left").select("rec_id", "loads")
+    return c.join(f, c.filename == f.source_file, "left").select("rec_id", F.coalesce("loads", F.lit(0)).cast("bigint").alias("loads"))
 
 
 @query("WITH m AS (SELECT source_path, max(loaded_at) AS m FROM filter_transcripts GROUP BY 1) SELECT t.source_path, count(*) AS rows, epoch(max(loaded_at))::BIGINT AS at, max(det_precheck) AS last FROM filter_transcripts t JOIN m ON t.source_path = m.source_path AND t.loaded_at = m.m GROUP BY 1")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def class_folders(spark: SparkSession, root: str, split: str | None = None, classes: DataFrame | None = None) -> DataFrame:
     """(filename, filepath, true_class, split, text) of <root>/<class>/**/*.txt; bytes that aren't UTF-8 are replaced.
 
-    With classes (slug), files in other folders are left out.
+    Files without a byte have no row: Spark's file sources pass them over; blank ones have one. With classes (slug), files in other folders are left out.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)  # keeps empty files
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
     path = F.col("path")
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace(F.url_decode(path), "^file:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")

@@ -72,13 +72,13 @@ def test_remote_resumes_and_retries(spark):
 
 
 def test_sources(spark, tmp_path):
-    for p, b in (("a/x.txt", b"hi"), ("a/y.TXT", b"a\xffb"), ("b/z.txt", b""), ("q/u.txt", b"no"), ("a/n.md", b"-")):
+    for p, b in (("a/x.txt", b"hi"), ("a/y.TXT", b"a\xffb"), ("b/z.txt", b" \n"), ("b/e.txt", b""), ("q/u.txt", b"no"), ("a/n.md", b"-")):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_bytes(b)
     classes = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
     rows = corpus.class_folders(spark, str(tmp_path), "train", classes)
     got = {(r.true_class, r.filename): r.text for r in rows.collect()}
-    assert got == {("a", "x.txt"): "hi", ("a", "y.TXT"): "a�b", ("b", "z.txt"): ""}
+    assert got == {("a", "x.txt"): "hi", ("a", "y.TXT"): "a�b", ("b", "z.txt"): " \n"}
     assert [r.slug for r in corpus.missing_classes(rows, classes).collect()] == ["c"]
 
 

@@ -25,7 +25,7 @@ def con():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
             return ""
         return repr(round(float(v), 5) + 0.0) if isinstance(v, (float, np.floating, int, np.integer)) and not isinstance(v, bool) else str(v)
 

@@ -2,18 +2,42 @@
 
 Rows are first folded into nodes, one per (bag of words, content class). Candidates are found between bags, their
 overlap is verified exactly, and only pairs that hold are spread over the rows of their nodes.
+
+Candidates miss no pair that overlaps by 0.8: of two texts of x and y words, at most (x + y) / 9 elements stand in one
+alone. Elements that aren't common rank first, by hash; a pair that shares one of them shares one among the first
+n - ceil(0.8 n) + 1 of either text and meets in its list. In a pair that shares none, all r of them stand in one text
+alone. The common elements of a text are dealt out by hash to m parts, one more than the elements that may differ in
+its band of sizes, so that some parts are equal; each text leaves out the r parts that tell least, and the pair still
+meets in the list of an equal part. Pairs in a list are compared by PARITY bits of parity, which differ in no more places
+than the texts have elements of their own; lists of texts of few words carry them folded.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm import textcodes as tc
 from callgrain.llm.layout import BROADCAST_IDS
 
+#: Share of bags, and least number, above which an element is common.
+COMMON, COMMON_LEAST = 1 / 200, 64
+PARITY = 256
+#: Most words of texts in lists that carry a quarter of the bits, and a half.
+QUARTER, HALF = 100, 200
+
+CODES = [f"code_{i}" for i in range(PARITY // 64)]
+LISTS = "value bigint, bag_id bigint, n int, " + ", ".join(f"{c} bigint" for c in CODES)
+#: Least size of each band; texts that overlap by 0.8 lie in one band or in neighbouring ones.
+_BANDS = [1]
+while _BANDS[-1] < 1 << 40:
+    _BANDS.append(_BANDS[-1] * 5 // 4 + 1)
+_BANDS = np.array(_BANDS, np.int64)
+
 #: Stands in the counted table for the number of bags.
 TOTAL = 0
 
@@ -71,6 +95,90 @@ def common_elements(texts: DataFrame, share: float, least: int) -> tuple[np.ndar
     return element[order], n[order], int(total)
 
 
+def lists_of(b: tc.Bags, n_docs: int, common: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, value, most words of its texts or 0 for any) of the lists in which each text of a chunk stands."""
+    size = b.size.astype(np.int64)
+    at = np.minimum(np.searchsorted(common, b.element), max(len(common) - 1, 0))
+    is_common = common[at] == b.element if len(common) else np.zeros(len(b.element), bool)
+    rare_doc, rare = b.doc[~is_common], b.element[~is_common]
+    n_rare = np.bincount(rare_doc, minlength=n_docs)
+    order = np.lexsort((rare, rare_doc))
+    rare_doc, rare = rare_doc[order], rare[order]
+    place = np.arange(len(rare)) - (np.cumsum(n_rare) - n_rare)[rare_doc]
+    first = place < (size - -(-4 * size // 5) + 1)[rare_doc]
+    docs, values, tops = [rare_doc[first]], [rare[first]], [np.zeros(int(first.sum()), np.int64)]
+    doc, mixed = b.doc[is_common], tc.mix(b.element[is_common] ^ tc.SEED_B)
+    weight = -np.log(np.minimum(share[at[is_common]], 0.999)) if len(common) else np.zeros(0)
+    for step in (0, 1):
+        band = np.searchsorted(_BANDS, np.maximum(size, 1), "right") - 1 + step
+        top = _BANDS[band + 1] - 1
+        parts = np.where(size > 0, 2 * top // 9 + 1, 0)
+        keep = np.maximum(parts - n_rare - (top - size) // 9, 0)
+        begin = np.cumsum(parts) - parts
+        of = np.repeat(np.arange(n_docs), parts)
+        to = begin[doc] + (mixed % parts[doc].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        run = tc.firsts(to[order])
+        digest = np.zeros(len(of), np.uint64)
+        with np.errstate(over="ignore"):
+            if len(run):
+                digest[to[order][run]] = np.add.reduceat(tc.mix(mixed[order]), run)
+            nth = np.arange(len(of)) - begin[of]
+            digest = tc.mix(digest + tc.mix(nth.astype(np.uint64) * tc.BASE_B + band[of].astype(np.uint64)))
+        told = np.bincount(to, weight, minlength=len(of))
+        order = np.lexsort((-told, of))
+        picked = order[nth < keep[of]]  # `of` is sorted already, so `nth` are also the places after sorting
+        docs.append(of[picked])
+        values.append(digest[picked])
+        tops.append(top[of[picked]])
+    return np.concatenate(docs), np.concatenate(values), np.concatenate(tops)
+
+
+def parity(b: tc.Bags, n_docs: int) -> np.ndarray:
+    """PARITY / 64 numbers per text: whether an even or odd number of its elements falls on each of PARITY places."""
+    counts = np.bincount(b.doc * PARITY + (b.element % np.uint64(PARITY)).astype(np.int64), minlength=n_docs * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n_docs, PARITY), axis=1).view(np.int64)
+
+
+def _list_batches(common: np.ndarray, share: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, part in tc.chunks(batch.column(1).to_pylist()):
+                b = tc.bags_of(part)
+                doc, value, top = lists_of(b, len(part), common, share)
+                code = parity(b, len(part))[doc]
+                for most, width in ((HALF, 2), (QUARTER, 1)):
+                    fold = (top > 0) & (top <= most)
+                    code[fold, :width] ^= code[fold, width : 2 * width]
+                    code[fold, width:] = 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value.view(np.int64)), pa.array(ids[first + doc]), pa.array(b.size[doc].astype(np.int32)), *(pa.array(c) for c in code.T.copy())],
+                    ["value", "bag_id", "n", *CODES],
+                )
+
+    return run
+
+
+def lists(texts: DataFrame, ids: DataFrame, common: np.ndarray, share: np.ndarray) -> DataFrame:
+    """LISTS of the bags whose ids are in ids (bag_id); texts: (row_id, text)."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    need = ids.select(F.col("bag_id").alias("row_id"))
+    own = texts.join(F.broadcast(need) if small else need, "row_id", "left_semi").select("row_id", "text")
+    return own.mapInArrow(_list_batches(common, share), LISTS)
+
+
+def meetings(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFrame:
+    """Pairs (a, b) of bags, from the left and from the right, that meet in a list and may overlap by 0.8; with
+    ordered, those with a < b alone."""
+    a = left.select("value", F.col("bag_id").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a_{c}") for c in CODES))
+    b = right.select("value", F.col("bag_id").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b_{c}") for c in CODES))
+    sized = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
+    far = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in CODES))
+    fits = (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")) & sized & (9 * far <= F.col("na") + F.col("nb"))
+    return a.join(b, "value").where(fits).select("a", "b").distinct()
+
+
 def _bag_batches(batches):
     for batch in batches:
         for first, part in tc.chunks(batch.column(1).to_pylist()):

@@ -1,10 +1,7 @@
-"""The same or nearly the same text in several splits (problem 2), by similarity-hash bit fingerprints.
+"""The same or nearly the same text in several splits (problem 2), by lists of parts and parity bit fingerprints.
 
-Each bag of words gets a fingerprint of BITS bits: a bit is the sign of the sum of its elements' random signs, weighted
-by how rare the element is. Fingerprints of texts that overlap by 0.8 and more differ in about 7 % of the bits, at
-most in some 17 %; those of other texts in about half. Of permuted fingerprints, blocks of bits are joined between
-splits; pairs within RADIUS are verified by their whole bags. Block width and number of permutations follow from the
-number of bags so that a pair that differs in the share FAR of its bits is missed with a chance below MISS.
+Bags of words that stand in train and bags that stand in another split meet in lists (`bags.lists`), which no pair that
+overlaps by 0.8 escapes; parity fingerprints filter what meets, and whole bags decide.
 """
 
 from __future__ import annotations
@@ -21,14 +18,10 @@ from callgrain.llm import textcodes as tc
 from callgrain.session import cut
 
 THRESHOLD = 0.8
-BITS, RADIUS = 128, 30
 FAR, MISS = 0.14, 0.03
-#: Elements in more than this share of all bags weigh less, by the logarithm of their share.
-COMMON = 1 / 20
 TRAIN = "train"
 
-SCHEMA = "row_id bigint, seq binary, root binary, bag binary, n int, code_a bigint, code_b bigint, blocks array<int>"
-_SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), 1.0, -1.0)
+SCHEMA = "row_id bigint, seq binary, root binary, bag binary"
 
 
 def block_plan(n_bags: int) -> tuple[int, int]:
@@ -37,66 +30,32 @@ def block_plan(n_bags: int) -> tuple[int, int]:
     return width, math.ceil(math.log(1 / MISS) / (1 - FAR) ** width)
 
 
-def fingerprints(b: tc.Bags, n_docs: int, common: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Bits (texts x BITS) of each text of a chunk."""
-    weight = np.full(len(b.element), -math.log(COMMON))
-    if len(common):
-        at = np.minimum(np.searchsorted(common, b.element), len(common) - 1)
-        weight = np.where(common[at] == b.element, -np.log(np.minimum(share[at], 0.999)), weight)
-    hashes = np.stack([b.element, tc.mix(b.element ^ tc.SEED_B)], 1).view(np.uint8).reshape(len(b.element), BITS // 8)
-    bits = np.empty((n_docs, BITS), np.uint8)
-    base = b.doc * 256
-    for k in range(BITS // 8):
-        mass = np.bincount(base + hashes[:, k], weight, minlength=n_docs * 256).reshape(n_docs, 256)
-        bits[:, 8 * k : 8 * k + 8] = mass @ _SIGNS >= 0
-    return bits
-
-
-def _coder(common: np.ndarray, share: np.ndarray, width: int, tables: int):
-    rng = np.random.default_rng(20)
-    places = np.stack([rng.permutation(BITS)[:width] for _ in range(tables)])
-    powers = (1 << np.arange(width)).astype(np.int64)
-
-    def run(batches):
-        for batch in batches:
-            for first, part in tc.chunks(batch.column(1).to_pylist()):
-                words = tc.words_of(part)
-                seq, root = layout.digests(part, words)
-                b = tc.bags_of(part, words)
-                bits = fingerprints(b, len(part), common, share)
-                code = np.packbits(bits, axis=1).view(np.int64)
-                block = bits[:, places].astype(np.int64) @ powers + (np.arange(tables, dtype=np.int64) << width)
-                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, tables, dtype=np.int32)), pa.array(block.ravel().astype(np.int32)))
-                digest = np.stack([b.key_a, b.key_b], 1).tobytes()
-                bag = [digest[16 * i : 16 * i + 16] if n else None for i, n in enumerate(b.size)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), pa.array(seq, pa.binary()), pa.array(root, pa.binary()), pa.array(bag, pa.binary()), pa.array(b.size.astype(np.int32)), pa.array(code[:, 0]), pa.array(code[:, 1]), blocks],
-                    ["row_id", "seq", "root", "bag", "n", "code_a", "code_b", "blocks"],
-                )
-
-    return run
+def _digester(batches):
+    for batch in batches:
+        for first, part in tc.chunks(batch.column(1).to_pylist()):
+            words = tc.words_of(part)
+            seq, root = layout.digests(part, words)
+            b = tc.bags_of(part, words)
+            digest = np.stack([b.key_a, b.key_b], 1).tobytes()
+            bag = [digest[16 * i : 16 * i + 16] if n else None for i, n in enumerate(b.size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(seq, pa.binary()), pa.array(root, pa.binary()), pa.array(bag, pa.binary())], ["row_id", "seq", "root", "bag"])
 
 
 def cross_split_links(df: DataFrame, id_col: str, text_col: str, split_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train rows, other rows, links between their groups): rows have (row_id, grp); links are (train_grp, other_grp)."""
     keep = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"), F.lower(F.trim(split_col)).alias("split"))
     keep = keep.where("row_id IS NOT NULL AND text IS NOT NULL AND split <> ''")
-    common, counts, total = bags.common_elements(keep.select("text"), COMMON, 16)
-    width, tables = block_plan(total)
-    coder = _coder(common, counts / max(total, 1), width, tables)
-    seen = cut(keep.select("row_id", "text").mapInArrow(coder, SCHEMA), "codes").where("bag IS NOT NULL")
+    common, counts, total = bags.common_elements(keep.select("text"), bags.COMMON, bags.COMMON_LEAST)
+    seen = cut(keep.select("row_id", "text").mapInArrow(_digester, SCHEMA), "codes").where("bag IS NOT NULL")
     rows = layout.classes(seen.select("row_id", "seq", "root", "bag")).join(keep.select("row_id", (F.col("split") == TRAIN).alias("is_train")), "row_id")
     sides = rows.groupBy("bag").agg(F.min("row_id").alias("bag_id"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_other"))
     sides = cut(sides, "sides")
     rows = cut(rows.join(sides.select("bag", "bag_id"), "bag").select("row_id", "bag_id", "cls", "is_train"), "rows")
-    codes = seen.join(sides.select("bag", F.col("bag_id").alias("row_id"), "in_train", "in_other"), ["bag", "row_id"]).dropDuplicates(["row_id"])
-    each = codes.select("row_id", "n", "code_a", "code_b", "in_train", "in_other", F.explode("blocks").alias("block"))
-    a = each.where("in_train").select("block", F.col("row_id").alias("a"), F.col("n").alias("na"), F.col("code_a").alias("a1"), F.col("code_b").alias("a2"))
-    b = each.where("in_other").select("block", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("code_a").alias("b1"), F.col("code_b").alias("b2"))
-    far = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    fits = (F.col("a") != F.col("b")) & (far <= RADIUS) & (F.col("na") >= THRESHOLD * F.col("nb")) & (F.col("nb") >= THRESHOLD * F.col("na"))
-    pairs = cut(a.join(b, "block").where(fits).select("a", "b").distinct(), "candidates")
-    pairs = cut(bags.verified(pairs, keep.select("row_id", "text"), THRESHOLD), "pairs")
+    texts = keep.select("row_id", "text")
+    share = counts / max(total, 1)
+    a, b = (bags.lists(texts, sides.where(x), common, share) for x in ("in_train", "in_other"))
+    pairs = cut(bags.meetings(a, b), "candidates")
+    pairs = cut(bags.verified(pairs, texts, THRESHOLD), "pairs")
     # groups: rows of one bag and content class
     groups = rows.groupBy("bag_id", "cls").agg(F.min("row_id").alias("grp"))
     members = rows.join(groups, ["bag_id", "cls"]).select("row_id", "grp", "is_train").distinct()

@@ -157,3 +157,19 @@ def test_block_plan_grows_slowly():
     assert splits.block_plan(10)[0] == 8
     assert splits.block_plan(10**9)[0] == 23
     assert splits.block_plan(10**9)[1] < 130
+
+
+def template_texts(n_template, n_own):
+    """Texts of one frequent template that share no rare word."""
+    template = [f"t{i}" for i in range(n_template)]
+    return [" ".join(template + [f"o{k}x{i}" for i in range(n_own)]) for k in range(150)]
+
+
+@pytest.mark.parametrize(("n_template", "n_own"), [(20, 1), (60, 6), (95, 5), (190, 20), (9, 1), (4, 1)])
+def test_pairs_of_a_frequent_template(spark, n_template, n_own):
+    rows = [(i, t, "train" if i % 2 else "val") for i, t in enumerate(template_texts(n_template, n_own))]
+    noise = [(1000 + i, " ".join(f"n{i}x{j}" for j in range(30)), "train") for i in range(100)]
+    df = spark.createDataFrame(rows + noise, "rec_id bigint, text string, split string").repartition(3)
+    holds = n_template / (n_template + 2 * n_own) >= 0.8
+    want = {(i, j) for i, j in combinations(range(150), 2) if holds and i % 2 != j % 2}
+    assert {(r.rec_id_a, r.rec_id_b) for r in cross_split_pairs(df, "rec_id", "text", "split").collect()} == want

@@ -1,117 +1,30 @@
-"""Near-duplicate records with small edits (problem 5), by bottom-k sketches from one hash function.
+"""Near-duplicate records with small edits (problem 5), by inverted lists, parity codes and exact overlap.
 
-The elements of a text are its words, repeated words counted as often as they occur, each hashed once. Elements that
-stand in more than a share COMMON of all bags rank behind all others; the K elements of lowest (rank, hash) are the
-text's sketch. Inverted lists of retained values give, for each pair of texts, how many values both retain; the share
-of the joint sketch that both hold estimates their overlap and filters; exact overlap of the whole bags decides.
-
-A list longer than LONG_LIST isn't cut off: its texts meet in the lists of pairs of such values instead. Texts whose
-sketch holds few uncommon values also meet in lists of WIDE values at once out of their lowest ranked.
+The elements of a text are its words, repeated words counted as often as they occur, each hashed once. Texts meet in
+lists of their rare elements and of equal parts of their common ones (`bags.lists`), which no pair that overlaps by
+THRESHOLD escapes; exact overlap of the whole bags decides.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.llm import bags, layout
-from callgrain.llm import textcodes as tc
+from callgrain.llm.splits import SCHEMA, digester
 from callgrain.session import cut
 
 THRESHOLD = 0.8
-#: Values a sketch retains.
-K = 16
-#: Share of bags, and least number, above which an element is common.
-COMMON, COMMON_LEAST = 1 / 2000, 64
-#: Longest list of a single value.
-LONG_LIST = 64
-#: A sketch with at most FEW uncommon values also gives all lists of WIDE of its OUT_OF lowest ranked elements.
-FEW, WIDE, OUT_OF = 4, 4, 7
-#: Least estimate, from the sketches, of pairs that are verified. Sketches of texts that overlap by 0.8 and more share
-#: well over half of their values; the filter keeps what is far below that.
-ESTIMATE = 0.15
-
-SCHEMA = "row_id bigint, seq binary, root binary, bag binary, n int, kept array<bigint>, wide array<bigint>"
-_COMBOS = {n: np.array(list(combinations(range(n), WIDE)), np.int64).reshape(-1, WIDE) for n in range(OUT_OF + 1)}
-
-
-def _sketcher(common: np.ndarray, counts: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            for first, part in tc.chunks(batch.column(1).to_pylist()):
-                words = tc.words_of(part)
-                seq, root = layout.digests(part, words)
-                b = tc.bags_of(part, words)
-                at = np.minimum(np.searchsorted(common, b.element), max(len(common) - 1, 0))
-                rank = np.where(common[at] == b.element, counts[at], 0) if len(common) else np.zeros(len(b.element), np.int64)
-                order = np.lexsort((b.element, rank, b.doc))
-                doc, element, rank = b.doc[order], b.element[order], rank[order]
-                begin = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(part)))))
-                place = np.arange(len(doc)) - begin[doc]
-                uncommon = np.bincount(doc, rank == 0, minlength=len(part)).astype(np.int64)
-                keep = (rank == 0) & (place < K)
-                kept_n = np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=len(part))))).astype(np.int32)
-                kept = pa.ListArray.from_arrays(pa.array(kept_n), pa.array(element[keep].view(np.int64)))
-                wide = []
-                for i in range(len(part)):
-                    if uncommon[i] > FEW or b.size[i] < WIDE:
-                        wide.append(None)
-                        continue
-                    low = element[begin[i] : min(begin[i] + OUT_OF, begin[i + 1])]
-                    low = np.sort(low)
-                    with np.errstate(over="ignore"):
-                        picks = low[_COMBOS[len(low)]]
-                        key = picks[:, 0]
-                        for j in range(1, WIDE):
-                            key = tc.mix(key * tc.BASE_B + picks[:, j])
-                    wide.append(key.view(np.int64))
-                digest = np.stack([b.key_a, b.key_b], 1).tobytes()
-                bag = [digest[16 * i : 16 * i + 16] if n else None for i, n in enumerate(b.size)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), pa.array(seq, pa.binary()), pa.array(root, pa.binary()), pa.array(bag, pa.binary()), pa.array(b.size.astype(np.int32)), kept, pa.array(wide, pa.list_(pa.int64()))],
-                    ["row_id", "seq", "root", "bag", "n", "kept", "wide"],
-                )
-
-    return run
-
-
-def _list_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of bags that meet in a list, once per list; bags of too different sizes can't overlap enough."""
-    a = lists.select("value", F.col("bag_id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    b = lists.select("value", F.col("bag_id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("na") >= THRESHOLD * F.col("nb")) & (F.col("nb") >= THRESHOLD * F.col("na"))
-    return a.join(b, "value").where(fits).select("a", "b", "ma", "mb")
-
-
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bags, a < b, whose sketches overlap enough; sketches: (bag_id, n, kept, wide)."""
-    sketches = sketches.withColumn("m", F.size("kept"))
-    each = sketches.select("bag_id", "n", "m", F.explode("kept").alias("value"))
-    length = each.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    each = cut(each.join(length, "value"), "lists")
-    single = _list_pairs(each.where(F.col("length") <= LONG_LIST))
-    long = each.where(F.col("length") > LONG_LIST).groupBy("bag_id", "n", "m").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    two = F.flatten(F.transform("v", lambda x, i: F.transform(F.filter("v", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    double = _list_pairs(long.where(F.size("v") > 1).select("bag_id", "n", "m", F.explode(two).alias("value")))
-    # lists of single values count how much the sketches share; those of several values each stand for two at least
-    seen = single.withColumn("c", F.lit(1)).union(double.withColumn("c", F.lit(2))).groupBy("a", "b", "ma", "mb").agg(F.sum("c").alias("c"))
-    seen = seen.where(F.col("c") >= ESTIMATE * (F.col("ma") + F.col("mb") - F.col("c"))).select("a", "b")
-    wide = _list_pairs(sketches.where("wide IS NOT NULL").select("bag_id", "n", "m", F.explode("wide").alias("value"))).select("a", "b")
-    return seen.union(wide).distinct()
 
 
 def near_bags(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (row_id, bag_id, cls), and pairs (a, b) of bag ids that overlap by THRESHOLD and more."""
     texts = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
-    common, counts, _ = bags.common_elements(texts.select("text"), COMMON, COMMON_LEAST)
-    seen = cut(texts.mapInArrow(_sketcher(common, counts), SCHEMA), "sketches").where("bag IS NOT NULL")
+    common, counts, total = bags.common_elements(texts.select("text"), bags.COMMON, bags.COMMON_LEAST)
+    seen = cut(texts.mapInArrow(digester, SCHEMA), "digests").where("bag IS NOT NULL")
     ids = seen.groupBy("bag").agg(F.min("row_id").alias("bag_id"))
-    firsts = seen.join(ids, "bag").where("row_id = bag_id").dropDuplicates(["bag_id"]).select("bag_id", "n", "kept", "wide")
-    pairs = cut(candidates(firsts), "candidates")
+    lists = bags.lists(texts, ids.select("bag_id"), common, counts / max(total, 1))
+    pairs = cut(bags.meetings(lists, lists, ordered=True), "candidates")
     pairs = cut(bags.verified(pairs, texts, THRESHOLD), "pairs")
     rows = layout.classes(seen.select("row_id", "seq", "root", "bag")).join(ids, "bag").select("row_id", "bag_id", "cls")
     return cut(rows, "rows"), pairs

@@ -30,7 +30,8 @@ def block_plan(n_bags: int) -> tuple[int, int]:
     return width, math.ceil(math.log(1 / MISS) / (1 - FAR) ** width)
 
 
-def _digester(batches):
+def digester(batches):
+    """SCHEMA of batches of (row_id, text)."""
     for batch in batches:
         for first, part in tc.chunks(batch.column(1).to_pylist()):
             words = tc.words_of(part)
@@ -46,7 +47,7 @@ def cross_split_links(df: DataFrame, id_col: str, text_col: str, split_col: str)
     keep = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"), F.lower(F.trim(split_col)).alias("split"))
     keep = keep.where("row_id IS NOT NULL AND text IS NOT NULL AND split <> ''")
     common, counts, total = bags.common_elements(keep.select("text"), bags.COMMON, bags.COMMON_LEAST)
-    seen = cut(keep.select("row_id", "text").mapInArrow(_digester, SCHEMA), "codes").where("bag IS NOT NULL")
+    seen = cut(keep.select("row_id", "text").mapInArrow(digester, SCHEMA), "codes").where("bag IS NOT NULL")
     rows = layout.classes(seen.select("row_id", "seq", "root", "bag")).join(keep.select("row_id", (F.col("split") == TRAIN).alias("is_train")), "row_id")
     sides = rows.groupBy("bag").agg(F.min("row_id").alias("bag_id"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_other"))
     sides = cut(sides, "sides")

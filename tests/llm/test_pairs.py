@@ -173,3 +173,5 @@ def test_pairs_of_a_frequent_template(spark, n_template, n_own):
     holds = n_template / (n_template + 2 * n_own) >= 0.8
     want = {(i, j) for i, j in combinations(range(150), 2) if holds and i % 2 != j % 2}
     assert {(r.rec_id_a, r.rec_id_b) for r in cross_split_pairs(df, "rec_id", "text", "split").collect()} == want
+    near = near_pairs(df, "rec_id", "text").collect()
+    assert {(r.rec_id_a, r.rec_id_b) for r in near} == {(i, j) for i, j in combinations(range(150), 2) if holds}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from callgrain.llm import bags, layout
 from callgrain.llm.splits import SCHEMA, digester
+from callgrain.operators.similarity import components
 from callgrain.session import cut
 
 THRESHOLD = 0.8
@@ -30,11 +31,8 @@ def near_bags(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     return cut(rows, "rows"), pairs
 
 
-def near_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rec_id_a, rec_id_b) of all pairs of rows whose words overlap by 0.8 and more and whose content isn't the same.
-
-    Null and blank texts and rows with a null id are in no pair; rows that share an id are one row.
-    """
+def near_links(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_id, node) and links (node_a, node_b): all rows of the one are near all rows of the other."""
     rows, pairs = near_bags(df, id_col, text_col)
     nodes = rows.groupBy("bag_id", "cls").agg(F.min("row_id").alias("node"))
     a = nodes.select(F.col("bag_id").alias("a"), F.col("cls").alias("ca"), F.col("node").alias("node_a"))
@@ -43,7 +41,28 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     same = a.join(several, "a", "left_semi").join(b, F.col("a") == F.col("b")).where("node_a < node_b")
     near = pairs.join(a, "a").join(b, "b").where("ca <> cb")
     links = near.select("node_a", "node_b").union(same.select("node_a", "node_b")).distinct()
-    members = rows.join(nodes, ["bag_id", "cls"]).select("row_id", "node").distinct()
+    return rows.join(nodes, ["bag_id", "cls"]).select("row_id", "node").distinct(), links
+
+
+def near_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rec_id, group_id, n_links) of all rows that stand in a pair: the smallest rec_id of the group that the pairs
+    form, directly or over others, and the number of pairs of the row."""
+    members, links = near_links(df, id_col, text_col)
+    members, links = cut(members, "members"), cut(links, "links")
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"))
+    both = links.union(links.select("node_b", "node_a"))
+    n_links = both.join(sizes, F.col("node_b") == F.col("node")).groupBy(F.col("node_a").alias("node")).agg(F.sum("n").cast("bigint").alias("n_links"))
+    found = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    told = members.join(n_links, "node").join(found, "node")
+    return told.select(F.col("row_id").alias("rec_id"), F.col("component").alias("group_id"), "n_links")
+
+
+def near_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rec_id_a, rec_id_b) of all pairs of rows whose words overlap by 0.8 and more and whose content isn't the same.
+
+    Null and blank texts and rows with a null id are in no pair; rows that share an id are one row.
+    """
+    members, links = near_links(df, id_col, text_col)
     left = members.select(F.col("node").alias("node_a"), F.col("row_id").alias("x"))
     right = members.select(F.col("node").alias("node_b"), F.col("row_id").alias("y"))
     return links.join(left, "node_a").join(right, "node_b").where("x <> y").select(F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b")).distinct()

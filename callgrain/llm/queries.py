@@ -56,6 +56,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(spread(table(spark, d, "count_analysis")), "rec_id", "text")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.neardup import near_groups
+
+    return near_groups(spread(table(spark, d, "count_analysis")), "rec_id", "text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.consensus import contested
 

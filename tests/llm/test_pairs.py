@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from callgrain.llm import layout, splits
 from callgrain.llm import textcodes as tc
 from callgrain.llm.layout import content_groups, parse_record
-from callgrain.llm.neardup import near_pairs
+from callgrain.llm.neardup import near_groups, near_pairs
 from callgrain.llm.splits import cross_split_pairs, overlap_report
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -175,3 +175,16 @@ def test_pairs_of_a_frequent_template(spark, n_template, n_own):
     assert {(r.rec_id_a, r.rec_id_b) for r in cross_split_pairs(df, "rec_id", "text", "split").collect()} == want
     near = near_pairs(df, "rec_id", "text").collect()
     assert {(r.rec_id_a, r.rec_id_b) for r in near} == {(i, j) for i, j in combinations(range(150), 2) if holds}
+
+
+def test_near_groups(corpus):
+    rows, df = corpus
+    pairs = near(rows)
+    links = Counter(i for p in pairs for i in p)
+    group = {i: i for i in links}
+    while any(group[i] != group[j] for i, j in pairs):
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    got = near_groups(df, "rec_id", "text").collect()
+    assert sorted((r.rec_id, r.group_id, r.n_links) for r in got) == sorted((i, group[i], n) for i, n in links.items())
+    assert near_groups(df.limit(0), "rec_id", "text").count() == 0

@@ -2,7 +2,8 @@
 
 Texts of up to LEAF characters are encoded at once. Longer ones are cut in halves, and those again, down to leaves that
 are encoded in parallel; neighbours are then joined like a tree. Around each join the text is encoded again in a window
-that begins at the last piece on the left (only it can depend on what follows) and grows until one of its piece
+that begins at the last piece on the left, or at the apostrophe before it (a contraction may be cut there; nothing
+earlier can depend on what follows), and grows until one of its piece
 boundaries meets one on the right; from there on the right side stands. A single piece longer than RUN bytes is encoded
 in the same way below the level of pieces: windows of tokens grow until their first and last token agree with both
 sides. Two tokens that stand side by side in some encoding always may, so the result is the encoding of the whole.
@@ -81,7 +82,10 @@ def join_parts(enc, left: Encoded, right: Encoded, run: int = RUN) -> Encoded:
     rt, ri, rat, rst = right
     if not lt or not rt:
         return right if not lt else left
-    cut_at, cut_id = lat[-2], lst[-2]  # the last piece on the left begins here
+    keep = len(lat) - 2  # pieces on the left that stand
+    if keep and lt[lat[keep - 1] : lat[keep]].endswith("'"):
+        keep -= 1
+    cut_at, cut_id = lat[keep], lst[keep]
     tail = lt[cut_at:]
     there = {p: k for k, p in enumerate(rat[:-1])}
     grow = 256
@@ -93,9 +97,9 @@ def join_parts(enc, left: Encoded, right: Encoded, run: int = RUN) -> Encoded:
         if meet is not None:
             k = there[wat[meet] - len(tail)]
             shift_t, shift_i = len(lt) - rat[0], cut_id + wst[meet] - rst[k]
-            return (lt + rt, li[:cut_id] + wi[: wst[meet]] + ri[rst[k] :], lat[:-2] + [cut_at + x for x in wat[:meet]] + [x + shift_t for x in rat[k:]], lst[:-2] + [cut_id + x for x in wst[:meet]] + [x + shift_i for x in rst[k:]])
+            return (lt + rt, li[:cut_id] + wi[: wst[meet]] + ri[rst[k] :], lat[:keep] + [cut_at + x for x in wat[:meet]] + [x + shift_t for x in rat[k:]], lst[:keep] + [cut_id + x for x in wst[:meet]] + [x + shift_i for x in rst[k:]])
         if all_of_it:
-            return lt + rt, li[:cut_id] + wi, lat[:-2] + [cut_at + x for x in wat], lst[:-2] + [cut_id + x for x in wst]
+            return lt + rt, li[:cut_id] + wi, lat[:keep] + [cut_at + x for x in wat], lst[:keep] + [cut_id + x for x in wst]
         grow *= 2
 
 

@@ -187,6 +187,17 @@ def test_tree_encoding_is_exact():
     assert enc.decode(encode.encode_text(long)) == long
 
 
+@pytest.mark.skipif(not HAVE_VOCABULARY, reason="no vocabulary file")
+@pytest.mark.parametrize("word", ["they're", "we've", "he'll", "it's", "i'm", "she'd", "'re", "!'ve", " 'll", "''re", "x'r", "a'really"])
+def test_cuts_inside_contractions(word):
+    enc = encode.encoder(encode.VOCABULARY)
+    for s in (word, f"so {word} here", word * 3, f"{word} {word}"):
+        for leaf in range(1, len(s) + 1):
+            assert encode.encode_text(s, leaf=leaf) == enc.encode_ordinary(s)
+    long = "x" * (encode.LEAF - len(word) + 1) + word + " y"
+    assert encode.encode_text(long) == enc.encode_ordinary(long)
+
+
 @pytest.mark.skipif(not HAVE_VOCABULARY, reason="no vocabulary file")
 def test_encode_corpus(spark):
     enc = encode.encoder(encode.VOCABULARY)

@@ -116,6 +116,12 @@ def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     return messages(spread(table(spark, d, "documents")), "doc_id", "text", "source")
 
 
+def p10_routes(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.residue import routes
+
+    return routes(spread(table(spark, d, "documents")), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 

@@ -245,38 +245,61 @@ def test_leaks_against_brute_force(spark):
 # ---------------------------------------------------------------- 10
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("caller: Send {{bank_name}} now", "placeholder"),
-        ("caller: [YOUR NAME HERE] is asked", "placeholder"),
-        ("caller: the <date of call> and", "placeholder"),
-        ("caller: %(REF_NO)s", "placeholder"),
-        ("caller: __OTP_CODE__ x", "placeholder"),
-        ("caller: a\nreceiver: [object Object]\ncaller: b", "stub"),
-        ("caller: TODO: write this turn", "stub"),
-        ("asdf, asdf, asdf, asdf, asdf, zavo", "filler"),
-        ("caller: dolum velit ameno ferata mundi", "filler"),
-        ("Home | Calls | Login\nPlease enable JavaScript to view this transcript. (namo 70979)", "scripts"),
-        ("Error 502: the page you asked for at kizodo.example could not be loaded. Go back to the home page or try later.", "error"),
-        ('{"error": {"code": 504, "message": "Gateway Timeout", "trace": "tega-101491"}}', "error"),
-        ("caller: [laughs] <sigh> {crosstalk} hello", None),
-        ("caller: I pay 404 rupees\nreceiver: it only says page not found, is that normal?", None),
-        ("My browser told me to switch on scripts and I do not know how.\n" + "I want to speak with your manager and I will visit the branch.\n" * 3, None),
-        ("<|endoftext|> caller: balove hovbur", None),
-        ("kolunto sohovsol", None),
-        ("  \n", None),
-        ("", None),
-    ],
-)
-def test_residue_rules(text, want):
-    assert residue.classify(text)[0] == want
+def residue_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, reason int")
+    return {r.doc_id: (r.reason, r.route) for r in residue.judged(df, "doc_id", "text", "source").collect()}
+
+
+ALONE = [
+    ("caller: Send {{bank_name}} now", "placeholder"),
+    ("caller: [YOUR NAME HERE] is asked", "placeholder"),
+    ("caller: the <date of call> and", "placeholder"),
+    ("caller: %(REF_NO)s", "placeholder"),
+    ("caller: __OTP_CODE__ x", "placeholder"),
+    ("caller: a\nreceiver: [object Object]\ncaller: b", "stub"),
+    ("caller: TODO: write this turn", "stub"),
+    ("asdf, asdf, asdf, asdf, asdf, zavo", "filler"),
+    ("your wording soon - your wording soon - your wording soon - vem", "filler"),
+    ("Home | Calls | Login\nPlease enable JavaScript to view this transcript. (namo 70979)", "scripts"),
+    ("Error 502: the page you asked for at kizodo.example could not be loaded. Go back to the home page or try later.", "error"),
+    ('{"error": {"code": 504, "message": "Gateway Timeout", "trace": "tega-101491"}}', "error"),
+    ("404 Not Found\nsoma.example proxy, request 95446684", "error"),
+    ("caller: [laughs] <sigh> {crosstalk} hello", None),
+    ("caller: I pay 404 rupees\nreceiver: it only says page not found, is that normal?", None),
+    ("My browser told me to switch on scripts and I do not know how.\n" + "I want to speak with your manager and I will visit the branch.\n" * 3, None),
+    ("<|endoftext|> caller: balove hovbur", None),
+    ("kolunto sohovsol", None),
+    ("  \n", None),
+    ("", None),
+    (None, None),
+]
+
+
+def test_residue_alone(spark):
+    got = residue_of(spark, [(i, t, "a", 1) for i, (t, _) in enumerate(ALONE)])
+    assert {i: r for i, (r, _) in got.items()} == {i: r for i, (_, r) in enumerate(ALONE) if r}
+    assert all(route == "rule" for _, route in got.values())
 
 
 def test_residue_counts_across_sources(spark):
     weak = "caller: Hello <Gadget> there"
+    notice = "The recording on this page was taken down, case {} of 2031-0{}-11."  # masked, these are one unit; no strong rule knows it
     rows = [(i, weak, s, 1) for i, s in enumerate(["a", "b", None])] + [(10, "caller: hi <Other>", "a", 1), (11, None, "a", 1), (None, "TODO: x", "a", 1), (12, "Error 404: page not found", "a", 1), (12, "Error 404: page not found", "b", 1)]
+    rows += [(20 + i, notice.format(i * 977, i), "abc"[i % 3], 1) for i in range(1, 5)] + [(30, "The tape on that page was lost by us.", "a", 1)]
+    rows += [(40 + i, "caller: " + notice.format(i, i), "abc"[i % 3], 1) for i in range(1, 5)]  # spoken, so no message
+    got = residue_of(spark, rows)
+    assert got == {**{i: ("placeholder", "group") for i in range(3)}, 12: ("error", "rule"), **{20 + i: ("error", "group") for i in range(1, 5)}}
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, reason int")
-    assert {tuple(r) for r in residue.residue(df, "doc_id", "text", "source").collect()} == {(0, "placeholder"), (1, "placeholder"), (2, "placeholder"), (12, "error")}
     assert residue.residue(df.limit(0), "doc_id", "text", "source").count() == 0
-    assert [(r.reason, r.n_docs, r.n_sources) for r in residue.messages(df, "doc_id", "text", "source").collect()] == [("error", 2, 2)]
+    told = {(r.reason, r.n_docs, r.n_sources): r.message for r in residue.messages(df, "doc_id", "text", "source").collect()}
+    assert "case 0 of 0" in told["error", 8, 3] and ("placeholder", 3, 3) in told
+
+
+def test_mock_text_of_unknown_words(spark):
+    r = random.Random(9)
+    mock = "zwelg print osmar tulde vekon abrix folda mirne".split()
+    speech = [f"the person said that you must {r.choice(['pay', 'wait', 'call'])} for it and {x}" for x in "abcdefghij"]
+    rows = [(i, " ".join(r.choice(mock) for _ in range(14)), "ab"[i % 2], 1) for i in range(12)]
+    rows += [(100 + i, "caller: " + r.choice(speech) + " " + r.choice(speech), "ab"[i % 2], 1) for i in range(60)]
+    rows += [(200, "caller: " + " ".join(mock[:3]) + " the person said that you must pay for it", "a", 1), (201, "one two three four five six", "a", 1)]
+    assert residue_of(spark, rows) == {i: ("filler", "words") for i in range(12)}

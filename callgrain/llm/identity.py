@@ -1,60 +1,65 @@
 """Personal information inside free text (problem 4), by bootstrapped contextual extraction.
 
-Seeds are entities that their shape gives away (addresses of mail, numbers written like phone or identity numbers, postal
-addresses) and a few given names. They are looked up in a bounded sample of texts together with the words around them;
-Spark scores the graph of patterns (words before and after) and instances in rounds: a pattern counts as far as its
-instances are known, an instance as far as its patterns are sure. Sure patterns then discover entities of other shape
-and unseen names. The learnt patterns and names are applied to every text in full.
+Seeds are few: addresses of mail with their sign, numbers that begin with a plus, two forms of identity numbers, three
+layouts of postal addresses, ten given names. What could be personal is generic: any longer number or code, numbers
+spelled out, mail spelled out, capitalised words around a house number, capitalised names. Of each candidate the context
+(two words before, one after) and the form (letters and digits masked; of a name the given name) are edges of a graph
+over all texts of all tables; Spark scores it in rounds: a context counts as far as its forms are known, a form as far as
+its contexts are sure. What is sure then finds entities in every text: contexts whatever stands between their words,
+forms wherever they stand, layouts of addresses that were learnt, and names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.sampling import bounded
-from callgrain.llm.turns import CLOCK, NAME, SOUNDS, seconds
+from callgrain.llm.turns import CLOCK, seconds
+from callgrain.session import cut
 
-#: Most texts per table that patterns are learnt from, the first by hash of their key; rounds of scoring; least score
-#: and support of a pattern; least score of a name.
-LEARN_ROWS, ROUNDS = 12_000, 3
-SURE, SUPPORT, SURE_NAME = 0.5, 5, 0.8
+#: Rounds of scoring; least score and share of all edges of its kind for a context, and least number; least score of a
+#: form or name; what a context needs in the first round.
+ROUNDS = 3
+SURE, SUPPORT, SHARE, SURE_FORM = 0.5, 5, 0.001, 0.8
 FIRST_SURE = 0.12
+#: Share of address candidates from which on a word belongs to their layout, and a layout is kept.
+KEYWORD_SHARE, LAYOUT_SHARE = 0.04, 0.003
+#: Characters that a context may reach to either side, and most words of an entity between the words of its context.
+BEFORE, AFTER, MOST_WORDS = 60, 40, 14
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 #: Given names that start the bootstrap. Fixed values.
-SEED_NAMES = "ankit arvind deepak divya elena geeta hannah harish imran kavya lucia martin neelam oliver pablo priya ramesh sunita vikram yusuf".split()
+SEED_NAMES = "ankit deepak elena hannah imran kavya lucia martin sunita vikram".split()
+#: Forms of identity numbers that start it: A for letters, 0 for digits. Fixed values.
+SEED_IDS = ("000-00-0000", "0000 0000 0000")
 #: Words that make a name a firm's. Fixed values.
 FIRM = frozenset("bank credit trust mutual finserv telecom logistics couriers services securities finance insurance ltd limited pvt inc group company capital".split())
 DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple"
 _L = r"[^\W\d_]"
 
-EMAIL = re.compile(
-    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*"
-    r"|[\w.+-]+\s?[\[(]\s?at\s?[\])]\s?[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*"
+MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*")
+SPELLED = re.compile(
+    r"[\w.+-]+\s?[\[(]\s?at\s?[\])]\s?[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*"
     r"|[\w+-]+(?:\s+dot\s+[\w+-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+"
 )
-DIGITS = re.compile(r"[+(]?\d(?:[ ()\-]{0,2}\d)*")
-SPOKEN = re.compile(rf"\b(?:{DIGIT_WORDS})(?:[\s,.-]+(?:{DIGIT_WORDS})\b){{6,}}")
-_TOWN = rf"{_L}+"
-_PIN = r"(?:\s?[-–,]?\s?\d{5,6}\b)?"
-ADDRESS = re.compile(
-    r"(?:"
-    rf"\b\d+[a-z]?,?\s+{_L}+\s+(?:street|road|lane|marg),?\s+{_TOWN}{_PIN}"
-    rf"|\b\d+(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin)\s+(?:(?:de la|du|des|de)\s+)?{_L}+,?\s+(?:\d{{5}}\s+)?{_TOWN}"
-    rf"|\b(?:calle|avenida|plaza|paseo|carrera)\s+(?:(?:de la|del|de)\s+)?{_L}+,?\s+\d+,?\s+(?:\d+\s?[a-z]?,?\s+)?{_TOWN}(?:\s?[-–,]?\s?\d{{5}}\b)?"
-    rf"|\b\d+-\d+-\d+,?\s+{_L}+\s+(?:colony|nagar|enclave|layout),?\s+{_TOWN}{_PIN}"
-    rf"|\bh\.?\s?no\.?\s?\d+(?:\s?/\s?\d+)?,?\s+gali\s+no\.?\s?\d+,?\s+{_TOWN}{_PIN}"
-    rf"|\bplot\s+(?:no\.?\s?)?\d+,?\s+sector\s+\d+,?\s+{_L}+\s+{_L}+,?\s+{_TOWN}{_PIN}"
-    rf"|\b(?:flat|house|apartment)\s+(?:no\.?\s?)?\d+\s?[a-z]?,?\s+{_L}+\s+{_L}+,?\s+\d+(?:st|nd|rd|th)?\s+(?:cross|main)\s+(?:road|street),?\s+{_TOWN}{_PIN}"
-    r")"
+NUMBER = re.compile(r"[+(]?\d(?:[ ()\-]{0,2}\d){3,}")
+SPOKEN = re.compile(rf"(?:{DIGIT_WORDS})(?:[\s,.-]+(?:{DIGIT_WORDS})\b){{6,}}")
+_DIGIT_WORD = re.compile(rf"(?:{DIGIT_WORDS})[,.-]*")
+#: Layouts of addresses that start the bootstrap.
+SEED_ADDRESS = re.compile(
+    rf"\b\d+[a-z]?,?\s+{_L}+\s+(?:street|road|lane),?\s+{_L}+(?:\s?[-–,]?\s?\d{{5,6}}\b)?"
+    rf"|\b\d+(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard)\s+(?:(?:de la|du|des|de)\s+)?{_L}+,?\s+(?:\d{{5}}\s+)?{_L}+"
+    rf"|\b(?:calle|avenida|plaza)\s+(?:(?:de la|del|de)\s+)?{_L}+,?\s+\d+,?\s+(?:\d+\s?[a-z]?,?\s+)?{_L}+(?:\s?[-–,]?\s?\d{{5}}\b)?"
 )
-_ADDRESS_WORDS = ("street", "road", "lane", "avenue", "marg", "rue ", "boulevard", "avenida", "plaza", "calle", "colony", "enclave", "layout", "gali", "sector", " nagar")
+_STREETS = ("street", "road", "lane", "rue ", "avenue", "boulevard", "calle", "avenida", "plaza")
 _SPACE = re.compile(r"\s+")
+_ANCHOR = re.compile(r"\d[A-Za-z]?,\s")
+_BLANK = re.compile(r"\s*")
 
 
 def plain(value: str) -> str:
@@ -62,57 +67,46 @@ def plain(value: str) -> str:
     return "".join(c for c in value.lower() if c.isalnum() or "ऀ" <= c <= "ॣ")
 
 
-# ---------------------------------------------------------------- shapes
-
-
-def number_type(text: str, low: str, start: int, end: int) -> tuple[str, int, int] | None:
-    """phone or id_number with its true bounds, for a run of digits whose shape gives it away."""
-    run = low[start:end]
-    d = re.sub(r"\D", "", run)
-    a = start
-    while a and start - a < 6 and low[a - 1].isalpha() and low[a - 1].isascii():
-        a -= 1
-    lead = low[a:start] if start and run[0].isdigit() else ""
-    if lead and a and (low[a - 1].isalnum() or low[a - 1] in "_@"):
-        return None
-    after = low[end : end + 2]
-    if lead:
-        if len(lead) == 5 and re.fullmatch(r"\d{4}", run) and after[:1].isalpha() and not after[1:2].isalnum():
-            return "id_number", a, end + 1
-        if len(lead) == 1 and re.fullmatch(r"\d{7}", run) and not after[:1].isalnum():
-            return "id_number", a, end
-        if len(lead) == 2 and len(d) == 13 and re.fullmatch(r"\d{2}[ -]?\d{4}[ -]?\d{7}", run):
-            return "id_number", a, end
-        return None
-    if after[:1].isalpha() or (after and after[0] in "@_") or (start and low[start - 1] in "/.@"):
-        return None
-    if run[0] == "+" and 10 <= len(d) <= 13:
-        return "phone", start, end
-    if run[0] == "(" and re.fullmatch(r"\(\d{3}\)[ -]?\d{3}[ -]?\d{4}", run):
-        return "phone", start, end
-    if re.fullmatch(r"07\d{3}[ -]\d{3}[ -]?\d{3}|0\d{5}-\d{5}|\d{3}-\d{3}-\d{4}|(?:91|44)[ -]\d{4,5}[ -]\d{5}|44[ -]7700[ -]900[ -]\d{3}|91-\d{3}-\d{3}-\d{4}", run):
-        return "phone", start, end
-    if re.fullmatch(r"\d{4}([ -])\d{4}\1\d{4}|\d{3}-\d{2}-\d{4}", run):
-        return "id_number", start, end
-    return None
-
-
-def shaped(text: str) -> list[tuple[str, int, int]]:
-    """(type, start, end) of entities that their shape gives away."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = text.translate({0x130: "i"}).lower()
+_FORM = {**{ord(c): "0" for c in "0123456789"}, **{ord(c): "A" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}}
+
+
+def numbers(text: str) -> list[tuple[str, int, int]]:
+    """(form, start, end) of the numbers and codes of a text that are long enough to name somebody."""
+    out = []
+    size = len(text)
+    for m in NUMBER.finditer(text):
+        a, b = m.span()
+        if b - a < 7 and not (a and text[a - 1].isalpha()) and not text[b : b + 1].isalpha():
+            continue
+        if text[a].isdigit():
+            while a and text[a - 1].isascii() and text[a - 1].isalpha() and m.start() - a < 6:
+                a -= 1
+        if b < size and text[b].isascii() and text[b].isalpha():
+            b += 1
+        if (b < size and (text[b].isalnum() or text[b] in "@_")) or (a and (text[a - 1].isalnum() or text[a - 1] in "_@/." or (text[a - 1] == "," and a > 1 and text[a - 2].isdigit()))):
+            continue
+        form = text[a:b].translate(_FORM)
+        if sum(c in "0A" for c in form) >= 8:
+            out.append((form, a, b))
+    return out
+
+
+def seeds(text: str, low: str) -> list[tuple[str, int, int]]:
+    """(type, start, end) of the entities that start the bootstrap, names aside."""
     out: list[tuple[str, int, int]] = []
-    if "@" in low or "[at" in low or "(at" in low or " dot " in _SPACE.sub(" ", low):
-        out += [("email", *m.span()) for m in EMAIL.finditer(low) if "@" in m.group() or re.search(r"[\[(]\s?at|\sdot\s", m.group())]
-    if any(w in low for w in _ADDRESS_WORDS):
-        out += [("street_address", *m.span()) for m in ADDRESS.finditer(low)]
-    taken = [(a, b) for _, a, b in out]
-    for m in DIGITS.finditer(low):
-        if m.end() - m.start() >= 4 and not any(a < m.end() and m.start() < b for a, b in taken):
-            if got := number_type(text, low, *m.span()):
-                out.append(got)
-    out += [("phone", *m.span()) for m in SPOKEN.finditer(low)]
+    if "@" in low:
+        out += [("email", *m.span()) for m in MAIL.finditer(low)]
+    if any(w in low for w in _STREETS):
+        out += [("street_address", *m.span()) for m in SEED_ADDRESS.finditer(low)]
+    return out
+
+
+def spelled(low: str, digits: int = 7) -> list[tuple[str, str, int, int]]:
+    """(type, form, start, end) of mail and numbers that are spelled out; digits: at most so many digits in words."""
+    out = []
+    if "[at" in low or "(at" in low or " dot " in low or "\ndot " in low:
+        out += [("email", "spelled", *m.span()) for m in SPELLED.finditer(low)]
+    out += [] if digits < 7 else [("phone", "spoken", *m.span()) for m in SPOKEN.finditer(low) if not (m.start() and low[m.start() - 1].isalnum())]
     return out
 
 
@@ -122,122 +116,280 @@ TOKEN = re.compile(r"\S+")
 _ENDS = re.compile(r"[.!?।]+[\"'”»)*]*$")
 
 
+_DIGITS = re.compile(r"\d+")
+_EDGES = ".,;:!?।\"'“”«»()[]{}*¿¡-…"
+
+
 def _core(token: str) -> str:
-    return re.sub(r"\d+", "0", token.lower().strip(".,;:!?।\"'“”«»()[]{}*¿¡-…"))
+    if token.isalpha():
+        return token.lower()
+    return _DIGITS.sub("0", token.lower().strip(_EDGES))
 
 
 def context(text: str, start: int, end: int) -> tuple[str, str]:
     """Two words before and one after, lower case; <s> and </s> where a sentence or line begins or ends."""
-    before = text[max(0, start - 60) : start]
+    before = text[max(0, start - BEFORE) : start]
     left = []
-    for t in reversed(TOKEN.findall(before.rsplit("\n", 1)[-1])):
-        if _ENDS.search(t) and len(t) > 2 or (t.endswith((":", ">", "]", "-")) and len(left) < 2):
-            break
-        if c := _core(t):
-            left.append(c)
+    for t in reversed(before[before.rfind("\n") + 1 :].split()):
+        if not t.isalpha():
+            if (len(t) > 2 and _ENDS.search(t)) or (t[-1] in ":>]-" and len(left) < 2):
+                break
+            t = _core(t)
+            if not t:
+                continue
+        left.append(t)
         if len(left) == 2:
             break
-    after = text[end : end + 40].split("\n", 1)[0]
-    if re.match(r"\s*[.!?।]", after) or not after.strip():
-        right = "</s>"
-    else:
-        right = next((c for t in TOKEN.findall(after) if (c := _core(t))), "</s>")
-    return " ".join(reversed(left)) or "<s>", right
+    after = text[end : end + AFTER].split("\n", 1)[0].lstrip()
+    right = "</s>"
+    if after and after[0] not in ".!?।":
+        for t in after.split():
+            if c := _core(t):
+                right = c
+                break
+    return (f"{left[1]} {left[0]}" if len(left) > 1 else left[0] if left else "<s>").lower(), right
 
 
 _TITLE = r"[A-ZÀ-Þ][a-zà-ÿ]+"
 NAMED = re.compile(rf"(?<![\w@.])({_TITLE})((?:\s+[A-Z]\.)?)((?:\s+{_TITLE})?)(?![\w@])")
+_ADDRESS_PART = re.compile(r"[A-ZÀ-Þ][^\W\d_]*\.?(?:[A-Z][a-z]+\.)?|(?:\w*[./-])*\d+\w*(?:[/-]\d+)*|[-–]|No\.")
+
+
+def around(text: str, at: int) -> tuple[int, int]:
+    """The capitalised and numbered words around the number that ends at `at`."""
+    a = text.rfind("\n", 0, at) + 1
+    line = text[max(a, at - 80) : at]
+    start = len(line)
+    for m in reversed(list(TOKEN.finditer(line))[-4:]):
+        if not _ADDRESS_PART.fullmatch(m.group()) or (m.group().endswith(".") and len(m.group()) > 6):
+            break
+        start = m.start()
+    end = at
+    for m in list(TOKEN.finditer(text[at : at + 120].split("\n", 1)[0]))[:MOST_WORDS]:
+        t = m.group()
+        if end == at and t[0] == ",":
+            continue
+        core = t.rstrip(".,;!?।\"'”")
+        if not _ADDRESS_PART.fullmatch(core):
+            break
+        end = at + m.start() + len(core)
+        if t[-1] in ".!?।;" and core.lower() != "no":
+            break
+    return at - len(line) + start, end
 
 
-def candidates(text: str) -> list[tuple[str, str, str, bool]]:
-    """(type, pattern, instance, sure) edges of a text for the graph."""
+def form_of(address: str, keywords: frozenset[str] = frozenset()) -> str:
+    """An address with its numbers and its words masked, but for keywords."""
+    return re.sub(r"[^\W_]+", lambda m: w if (w := m.group().lower()) in keywords else re.sub(r"[^\W\d_]+", "W", re.sub(r"\d+", "0", w)), _SPACE.sub(" ", address.strip()))
+
+
+def candidates(text: str) -> list[tuple[str, str, str, str, bool]]:
+    """(type, context, form, instance, seed) edges of a text for the graph; instances of addresses alone are told."""
     out = []
-    for kind, a, b in shaped(text):
-        left, right = context(text, a, b)
-        out.append((kind, f"{left} | {right}", plain(text[a:b]), True))
-    for m in DIGITS.finditer(text):
-        if 9 <= len(re.sub(r"\D", "", m.group())) <= 13 and number_type(text, text.lower(), *m.span()) is None and not text[max(0, m.start() - 1) : m.start()].isalnum():
-            left, right = context(text, *m.span())
-            for kind in ("phone", "id_number"):
-                out.append((kind, f"{left} | {right}", plain(m.group()), False))
+    low = text.lower()
+    if len(low) != len(text):
+        text = low = text.translate({0x130: "i"}).lower()
+    found = seeds(text, low)
+    for kind, a, b in found:
+        out.append((kind, context(text, a, b), "mail" if kind == "email" else form_of(low[a:b]), low[a:b] if kind == "street_address" else "", True))
+    for kind, form, a, b in spelled(low):
+        out.append((kind, context(text, a, b), form, "", False))
+    for form, a, b in numbers(text):
+        where = context(text, a, b)
+        out.append(("phone", where, form, "", form[0] == "+"))
+        out.append(("id_number", where, form, "", form in SEED_IDS))
+    for m in _ANCHOR.finditer(text):
+        a, b = around(text, m.end() - 2)
+        if b <= m.end() or any(x < b and a < y for _, x, y in found):
+            continue
+        out.append(("street_address", context(text, a, b), form_of(low[a:b]), low[a:b], False))
+        first = text[a:b].split(None, 1)
+        if context(text, a, b)[0] == "<s>" and len(first) > 1 and first[0].isalpha():  # the first word may begin the sentence
+            a = b - len(first[1])
+            out.append(("street_address", context(text, a, b), form_of(low[a:b]), low[a:b], False))
     for m in NAMED.finditer(text):
         words = m.group().lower().split()
-        if words[-1] in FIRM:
-            continue
-        left, right = context(text, *m.span())
-        if right in FIRM:
+        if words[-1] in FIRM or not FIRM.isdisjoint(text[m.end() : m.end() + 14].lower().split()[:1]):
             continue
-        out.append(("person_name", f"{left} | {right}", words[0] + (" " + words[-1] if m.group(3) else ""), words[0] in SEED_NAMES))
-        if left == "<s>" and len(words) > 1 and not words[1].endswith("."):  # the first word may begin the sentence
-            tail = NAMED.match(text, m.start() + len(m.group(1)) + len(re.match(r"\s*", text[m.start() + len(m.group(1)) :]).group()))
+        where = context(text, *m.span())
+        out.append(("person_name", where, words[0], words[-1] if m.group(3) else "", words[0] in SEED_NAMES))
+        if where[0] == "<s>" and len(words) > 1 and not words[1].endswith("."):  # the first word may begin the sentence
+            tail = NAMED.match(text, m.start() + len(m.group(1)) + len(_BLANK.match(text, m.end(1)).group()))
             if tail and tail.group().lower().split()[-1] not in FIRM:
                 got = tail.group().lower().split()
                 right = context(text, *tail.span())[1]
                 if right not in FIRM:
-                    out.append(("person_name", f"{words[0]} | {right}", got[0] + (" " + got[-1] if tail.group(3) else ""), got[0] in SEED_NAMES))
+                    out.append(("person_name", (words[0], right), got[0], got[-1] if tail.group(3) else "", got[0] in SEED_NAMES))
     return out
 
 
-class Model:
-    """What the bootstrap has learnt: patterns by type, given names and surnames."""
+# ---------------------------------------------------------------- what is learnt
 
-    def __init__(self, patterns: dict[str, dict[str, set[str]]], given: set[str], surnames: set[str]):
-        self.patterns, self.given, self.surnames = patterns, given, surnames
-        pairs = patterns.get("person_name", {})
-        left = sorted((x for x in pairs if x != "<s>"), key=len, reverse=True)
+
+class Model:
+    """What the bootstrap has learnt: contexts and forms by type, layouts of addresses, given names and surnames."""
+
+    def __init__(self, contexts: dict[str, dict[str, set[str]]], forms: dict[str, str], layouts: list[str], given: set[str], surnames: set[str]):
+        self.contexts, self.forms, self.given, self.surnames = contexts, forms, given, surnames
+        self.by_left: dict[str, list[tuple[str, set[str]]]] = {}
+        for kind in TYPES[:4]:
+            for left, rights in contexts.get(kind, {}).items():
+                if left != "<s>":
+                    self.by_left.setdefault(left, []).append((kind, rights))
+        #: Words that belong to learnt layouts.
+        self.parts = frozenset(w for x in layouts for w in re.findall(r"[^\W\d_]+", x) if w.islower() and len(w) > 1)
+        #: A long word of each layout: without any of them none holds.
+        self.needed = tuple({max((w for w in re.findall(r"[^\W\d_]+", x) if w.islower()), key=len) for x in layouts})
+        self.layouts = re.compile("|".join(sorted(map(layout_pattern, layouts), key=lambda x: (-len(x), x)))) if layouts else None
+        pairs = contexts.get("person_name", {})
+        self.name_lefts = [x for x in pairs if x != "<s>"]
         name = rf"({_L}+(?:\s+{_L}\.?(?=\s))?(?:\s+{_L}+)?)"
-        self.before = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x).replace(chr(92) + ' ', chr(92) + 's+') for x in left)})\s+(?={_L})") if left else None
         right = sorted({r for rs in pairs.values() for r in rs if r != "</s>"})
         self.name = re.compile(rf"{name}\s*,?\s+(?:{'|'.join(map(re.escape, right))})(?!\w)") if right else None
-        self.known = re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(given))})(?![\w@+-]|\.\w)") if given else None
         self.rest = re.compile(rf"(\s+{_L}\.?)?\s+({_L}+)")
-
-    def names(self, text: str, low: str) -> list[tuple[int, int]]:
+        self._scan = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_scan": None}
+
+    def scan(self):
+        """An automaton over the words to look for, built where it is used: given names, digits in words, and of each
+        context the longest word, with the words before and after it."""
+        if self._scan is None:
+            import ahocorasick
+
+            found: dict[str, list[tuple]] = {}
+            for w in self.given:
+                found.setdefault(w, []).append(("name", "", ""))
+            for w in DIGIT_WORDS.split("|"):
+                found.setdefault(w, []).append(("digit", "", ""))
+            for what, lefts in (("left", self.by_left), ("before", self.name_lefts)):
+                for x in lefts:
+                    words = x.split()
+                    k = max(range(len(words)), key=lambda i: len(words[i]))
+                    found.setdefault(words[k], []).append((what, words[0] if k else "", words[1] if len(words) == 2 and not k else "", x))
+            self._scan = ahocorasick.Automaton()
+            for w, uses in found.items():
+                self._scan.add_word(w, (len(w), uses))
+            self._scan.make_automaton()
+        return self._scan
+
+    def signs(self, low: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]], list[tuple[int, int]], int]:
+        """Of a text: (end, phrase) of contexts of other kinds and of names, (start, end) of given names, digit words."""
+        lefts, befores, names, digits, size = [], [], [], 0, len(low)
+        for last, (n, uses) in self.scan().iter(low):
+            a, b = last - n + 1, last + 1
+            if (b < size and (low[b].isalnum() or low[b] == "_")) or (a and (low[a - 1].isalnum() or low[a - 1] == "_")):
+                continue
+            for what, before, after, *phrase in uses:
+                if what == "digit":
+                    digits += 1
+                elif what == "name":
+                    if not (a and low[a - 1] in "@.+-") and not (b < size and (low[b] in "@+-" or (low[b] == "." and low[b + 1 : b + 2].isalnum()))):
+                        names.append((a, b))
+                else:
+                    end = b
+                    if after:
+                        rest = _BLANK.match(low, b).end()
+                        if rest == b or not low.startswith(after, rest) or low[rest + len(after) : rest + len(after) + 1].isalnum():
+                            continue
+                        end = rest + len(after)
+                    if before:
+                        head = low[max(0, a - len(before) - 12) : a]
+                        bare = head.rstrip()
+                        if len(bare) == len(head) or not bare.endswith(before) or bare[-len(before) - 1 : -len(before)].isalnum():
+                            continue
+                    (lefts if what == "left" else befores).append((end, phrase[0]))
+        return lefts, befores, names, digits
+
+    def names(self, text: str, low: str, known: list[tuple[int, int]], befores: list[tuple[int, str]]) -> list[tuple[int, int]]:
         out = []
-        if self.known:
-            for m in self.known.finditer(low):
-                end = m.end()
-                if r := self.rest.match(low, end):
-                    if r.group(2) in FIRM or (r.group(1) is None and r.group(2) in FIRM):
-                        continue
-                    last = text[r.start(2) : r.end(2)]
-                    # a surname that is known, or, among words in lower case, one that is written as a name
-                    if r.group(2) in self.surnames or (last[0].isupper() and not last[1:2].isupper() and text[m.start()].isupper()):
-                        end = r.end()
-                out.append((m.start(), end))
-        if self.before and self.name:
-            for m in self.before.finditer(low):
-                n = self.name.match(low, m.end())
-                if not n:
+        for start, end in known:
+            if r := self.rest.match(low, end):
+                if r.group(2) in FIRM:
                     continue
-                left = " ".join(m.group().split())
-                words = n.group(1).split()
-                right = low[n.end(1) : n.end()].strip(" ,\t\xa0\n")
-                if right in self.patterns["person_name"].get(left, ()) and not FIRM.intersection(words) and 1 <= len(words) <= 3 and (words[0] in self.given or text[n.start(1)].isupper()):
-                    out.append((n.start(1), n.end(1)))
+                last = text[r.start(2) : r.end(2)]
+                # a surname that is known, or, among words in lower case, one that is written as a name
+                if r.group(2) in self.surnames or (last[0].isupper() and not last[1:2].isupper() and text[start].isupper()):
+                    end = r.end()
+            out.append((start, end))
+        for at, left in befores if self.name else ():
+            begin = _BLANK.match(low, at).end()
+            if begin == at or not (n := self.name.match(low, begin)):
+                continue
+            words = n.group(1).split()
+            right = low[n.end(1) : n.end()].strip(" ,\t\xa0\n")
+            if right in self.contexts["person_name"].get(left, ()) and not FIRM.intersection(words) and 1 <= len(words) <= 3 and (words[0] in self.given or text[n.start(1)].isupper()):
+                out.append((n.start(1), n.end(1)))
         return _longest(out)
 
+    def between(self, low: str, start: int, kind: str, rights: set[str]) -> tuple[int, int] | None:
+        """What stands from `start` to a word that ends a context, if it can be of the kind."""
+        end, n = None, 0
+        for m in TOKEN.finditer(low, start, start + 200):
+            t = m.group()
+            if n and (_core(t) in rights):
+                break
+            if "\n" in low[end or start : m.start()]:
+                return None
+            end = start if end is None else end
+            end = m.end() - (len(t) - len(t.rstrip(".,;:!?।\"'”»*")))
+            n += 1
+            if "</s>" in rights and _ENDS.search(t) and len(t) > 3 and fits(kind, low[start:end]):
+                break
+            if n == MOST_WORDS:
+                return None
+        else:
+            if "</s>" not in rights:
+                return None
+        if end is None or not fits(kind, low[start:end]):
+            return None
+        if kind == "street_address" and self.parts.isdisjoint(re.findall(r"[^\W\d_]+", low[start:end])):
+            return None  # as far as is known, no address
+        return start, end
+
     def find(self, text: str) -> list[tuple[str, int, int]]:
-        """All entities of a text as (type, start, end), without overlaps of numbers and addresses."""
+        """All entities of a text as (type, start, end), without overlaps."""
         low = text.lower()
         if len(low) != len(text):
             text = low = text.translate({0x130: "i"}).lower()
-        out = shaped(text)
-        taken = [(a, b) for _, a, b in out]
-        for m in DIGITS.finditer(low):
-            if m.end() - m.start() < 9 or any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            if 9 <= len(re.sub(r"\D", "", m.group())) <= 13 and not low[max(0, m.start() - 1) : m.start()].isalnum() and not low[m.end() : m.end() + 1].isalpha():
-                left, right = context(text, *m.span())
-                for kind in ("phone", "id_number"):
-                    rights = self.patterns.get(kind, {}).get(left)
-                    if rights and right in rights:
-                        out.append((kind, *m.span()))
+        lefts, befores, known, digits = self.signs(low)
+        out = [("email", *m.span()) for m in MAIL.finditer(low)] if "@" in low else []
+        out += [(kind, a, b) for kind, form, a, b in spelled(low, digits) if self.forms.get(form) == kind]
+        out += [(kind, a, b) for form, a, b in numbers(text) if (kind := self.forms.get(form))]
+        if self.layouts and any(w in low for w in self.needed):
+            out += [("street_address", *m.span()) for m in self.layouts.finditer(low)]
+        if any(w in low for w in _STREETS):
+            out += [("street_address", *m.span()) for m in SEED_ADDRESS.finditer(low)]
+        for at, left in lefts:
+            begin = _BETWEEN.match(low, at).end()
+            if begin > at:
+                for kind, rights in self.by_left[left]:
+                    if got := self.between(low, begin, kind, rights):
+                        out.append((kind, *got))
                         break
-        out += [("person_name", a, b) for a, b in self.names(text, low) if not any(x < b and a < y for _, x, y in out)]
+        out = _apart(out)
+        out += [("person_name", a, b) for a, b in self.names(text, low, known, befores) if not any(x < b and a < y for _, x, y in out)]
         return out
 
 
+_BETWEEN = re.compile(r"[\s,:]*")
+_NUMBERISH = re.compile(r"[\d ()+\-]+")
+_CODE = re.compile(r"[a-z]{0,6}[\d \-]*\d[a-z]?")
+
+
+def fits(kind: str, value: str) -> bool:
+    """Whether a value between the words of a sure context can be of its kind."""
+    if kind == "email":
+        return SPELLED.fullmatch(value) is not None or MAIL.fullmatch(value) is not None
+    if kind == "phone":
+        return (_NUMBERISH.fullmatch(value) is not None and 7 <= sum(map(str.isdigit, value)) <= 15) or (value.count(" ") >= 6 and all(_DIGIT_WORD.fullmatch(w) for w in value.split()))
+    if kind == "id_number":
+        return len(value) <= 24 and _CODE.fullmatch(value) is not None and sum(map(str.isalnum, value)) >= 8
+    words = re.findall(rf"{_L}+", value)
+    return any(map(str.isdigit, value)) and len(words) >= 2 and not re.search(r"[!?।]|[^\W\d_]{4,}\.", value)
+
+
 def _longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     kept: list[tuple[int, int]] = []
     for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
@@ -246,53 +398,118 @@ def _longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
+def _apart(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The longest of each entities that overlap."""
+    kept: list[tuple[str, int, int]] = []
+    for x in sorted(set(found), key=lambda s: (s[1] - s[2], s)):
+        if not any(x[1] < b and a < x[2] for _, a, b in kept):
+            kept.append(x)
+    return kept
+
+
+def layout_pattern(form: str) -> str:
+    """A pattern for the addresses of one form."""
+    out = []
+    for part in re.findall(r"[^\W_]+|\s+|.", form):
+        if part.isspace():
+            out.append(r"\s+")
+        elif part == ",":
+            out.append(r"\s?,?")
+        elif part in ("-", "–"):
+            out.append(r"[-–]")
+        elif part[0].isalnum() and (part.isalpha() and part.islower()):
+            out.append(re.escape(part))
+        elif part[0].isalnum():
+            out.append(part.replace("0", r"\d+").replace("W", f"{_L}+"))
+        else:
+            out.append(re.escape(part) + "?")
+    return rf"(?<!\w){''.join(out)}(?!\w)"
+
+
 def _edge_batches(batches):
     for batch in batches:
-        counts = Counter(e for t in batch.column(0).to_pylist() for e in candidates(t))
+        texts = [spoken(t).text if s else t for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        counts = Counter(e for t in texts for e in candidates(t))
         rows = list(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.string()), (3, pa.bool_()))] + [pa.array([counts[r] for r in rows], pa.int64())],
-            ["kind", "pattern", "instance", "seed", "n"],
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([" | ".join(r[1]) for r in rows], pa.string())]
+            + [pa.array([r[i] for r in rows], t) for i, t in ((2, pa.string()), (3, pa.string()), (4, pa.bool_()))]
+            + [pa.array([counts[r] for r in rows], pa.int64())],
+            ["kind", "pattern", "form", "instance", "seed", "n"],
         )
 
 
-def learn(sample: DataFrame) -> Model:
-    """Score the pattern-instance graph of a sample of texts (text) in rounds and keep what is sure."""
-    edges = sample.mapInArrow(_edge_batches, "kind string, pattern string, instance string, seed boolean, n bigint")
-    edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
-    # of a name the given name alone is the instance, so that names share it
-    edges = edges.withColumn("key", F.when(F.col("kind") == "person_name", F.split("instance", " ")[0]).otherwise(F.col("instance"))).cache()
-    score = edges.groupBy("kind", "key").agg(F.max(F.col("seed").cast("double")).alias("score"))
+def _layout_batches(keywords: frozenset[str]):
+    def run(batches):
+        for batch in batches:
+            forms = [form_of(x, keywords) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), batch.column(1)], ["layout", "n"])
+
+    return run
+
+
+def learn(texts: DataFrame) -> Model:
+    """Score the graph of contexts and forms of all texts (text, transcript) in rounds and keep what is sure.
+
+    What is collected is bounded: contexts, forms and layouts hold a least share of their kind; given names and surnames
+    are as many as there are.
+    """
+    raw = texts.mapInArrow(_edge_batches, "kind string, pattern string, form string, instance string, seed boolean, n bigint")
+    whole = cut(raw.groupBy("kind", "pattern", "form", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "edges")
+    narrow = whole.groupBy("kind", "pattern", "form").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    # a context that is rarer than any that can become sure takes no part in the rounds
+    size = narrow.groupBy("kind").agg(F.sum(F.when(F.col("seed"), F.col("n"))).alias("of_kind"))
+    support = narrow.groupBy("kind", "pattern").agg(F.sum("n").alias("support")).join(F.broadcast(size), "kind").where((F.col("support") >= SUPPORT) & (F.col("support") >= SHARE * F.col("of_kind"))).select("kind", "pattern", "support")
+    edges = cut(narrow.join(support, ["kind", "pattern"], "left"), "graph")
+    score = edges.groupBy("kind", "form").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for i in range(ROUNDS):
-        weighed = edges.join(score, ["kind", "key"])
-        patterns = weighed.groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("sure"), F.sum("n").alias("support"))
+        weighed = edges.where("support IS NOT NULL").join(score.select("kind", "form", "score"), ["kind", "form"])
+        patterns = weighed.groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("sure"))
         floor = FIRST_SURE if i == 0 else SURE
-        # an instance is as sure as the weighted mean of its patterns, in which unsure ones count against it
-        told = edges.join(patterns, ["kind", "pattern"]).withColumn("sure", F.when((F.col("sure") >= floor) & (F.col("support") >= SUPPORT), F.greatest("sure", F.lit(SURE))).otherwise(F.col("sure")))
-        score = told.groupBy("kind", "key").agg(F.greatest(F.max(F.col("seed").cast("double")), F.sum(F.col("n") * F.when(F.col("sure") >= SURE, 1.0).otherwise(F.col("sure"))) / F.sum("n")).alias("score"))
-    kept = patterns.where((F.col("sure") >= SURE) & (F.col("support") >= SUPPORT)).select("kind", "pattern").collect()
-    names = edges.where("kind = 'person_name'").join(score, ["kind", "key"]).where(F.col("score") >= SURE_NAME).groupBy("instance", "key").agg(F.sum("n").alias("n")).collect()
-    edges.unpersist()
-    table: dict[str, dict[str, set[str]]] = {}
-    for r in kept:
+        # a form is as sure as the share of its places in sure contexts; half-sure ones would lift each other
+        told = edges.join(patterns, ["kind", "pattern"], "left").withColumn("sure", F.when(F.col("sure") >= floor, 1.0).otherwise(0.0))
+        score = cut(told.groupBy("kind", "form").agg(F.greatest(F.max(F.col("seed").cast("double")), F.sum(F.col("n") * F.col("sure")) / F.sum("n")).alias("score"), F.sum("n").alias("n")), "scores")
+        patterns = cut(patterns, "patterns") if i == ROUNDS - 1 else patterns
+    contexts: dict[str, dict[str, set[str]]] = {}
+    for r in patterns.where(F.col("sure") >= SURE).collect():
         left, right = r.pattern.split(" | ")
-        table.setdefault(r.kind, {}).setdefault(left, set()).add(right)
-    total: Counter = Counter()
-    for r in names:
-        total[r.key] += r.n
-    given = {k for k, n in total.items() if n >= SUPPORT and k.isalpha()} | set(SEED_NAMES)
-    surnames = {r.instance.split(" ")[1] for r in names if " " in r.instance and r.key in given} - FIRM
-    surnames -= {w for rights in table.get("person_name", {}).values() for w in rights}
-    return Model(table, given, surnames)
+        contexts.setdefault(r.kind, {}).setdefault(left, set()).add(right)
+    sure = score.where((F.col("score") >= SURE_FORM) & (F.col("n") >= SUPPORT))
+    forms: dict[str, tuple[float, str]] = {}
+    held = score.where(F.col("kind").isin("email", "phone", "id_number")).groupBy("kind").agg(F.sum(F.col("n") * F.col("score")).alias("all"))
+    for r in sure.join(F.broadcast(held), "kind").where(F.col("n") >= SHARE * F.col("all")).collect():
+        forms[r.form] = max(forms.get(r.form, (0.0, "")), (r.score, r.kind))
+    layouts = _layouts(whole.where("kind = 'street_address'").join(sure.select("kind", "form"), ["kind", "form"]))
+    names = sure.where("kind = 'person_name'").select("form")
+    given = {r.form for r in names.collect() if r.form.isalpha()} | set(SEED_NAMES)
+    people = whole.where("kind = 'person_name' AND instance <> ''").join(names, "form").groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
+    surnames = {r.instance for r in people.collect()} - FIRM
+    surnames -= {w for rights in contexts.get("person_name", {}).values() for w in rights}
+    return Model(contexts, {f: k for f, (_, k) in forms.items()}, layouts, given, surnames)
+
+
+def _layouts(addresses: DataFrame) -> list[str]:
+    """The layouts of sure addresses (instance, n): their words that recur stand as they are, others are masked."""
+    known = cut(addresses.groupBy("instance").agg(F.sum("n").alias("n")), "addresses")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    words = known.select(F.explode(F.array_distinct(F.split(F.regexp_replace("instance", r"[^\p{L}]+", " "), " "))).alias("w"), "n").where("length(w) > 1").groupBy("w").agg(F.sum("n").alias("n"))
+    keywords = frozenset(r.w for r in words.where(F.col("n") >= max(KEYWORD_SHARE * total, SUPPORT)).collect())
+    got = known.mapInArrow(_layout_batches(keywords), "layout string, n bigint").groupBy("layout").agg(F.sum("n").alias("n"))
+    # a layout that names no part of an address, or nothing but numbers, would hold everywhere
+    return [r.layout for r in got.where(F.col("n") >= max(LAYOUT_SHARE * total, SUPPORT)).collect() if keywords.intersection(re.findall(r"[^\W\d_]+", r.layout)) and "W" in r.layout and "0" in r.layout]
 
 
 # ---------------------------------------------------------------- transcripts
 
+#: Names of voices and sounds, as far as a text must be read past them. Fixed values.
+NAME = r"(?:call?l?er|caler|scamm?er|agent|fraudster|impostor|rec[ei]*ver|victim|customer|callee|target|narrator|host|anchor|presenter|voice-?over|commentator|moderator|(?:speaker|person|spk|s|voice)[ _-]?0*\d{1,2})"
+SOUNDS = r"silence|laugh|laughs|laughing|laughter|sigh|sighs|cough|coughs|coughing|music|applause|crosstalk|inaudible|unclear|pause|noise|background|typing|phone ringing|ringing|ring|line drops|beep|static|tune|crying|cries|breath|breathing|clears throat|indistinct|overlap|dial tone|sounds?".replace(" ", r"\s+")
 _PREFIX = re.compile(
     rf"^[\s>|*•-]*(?:(?:{CLOCK})\s*-->\s*(?:{CLOCK})|[\[(]?\s*(?P<at>{CLOCK}|\d+(?:\.\d+)?(?=s[\])]))s?\s*[\])]?)?[\s>|*•-]*"
     rf"(?:(?:[\[(<*]+\s*(?:{NAME})\s*[:\])>*]+|(?:{NAME})\s*(?:[\[(]\s*(?P<at2>{CLOCK})\s*[\])])?\s*(?:\s-\s|:|>))\s*[:-]?)?\s*",
     re.I,
 )
+_NOISY = re.compile(r"[\[({<*♪♫]|(?<!\S)(?:[ue]|h|mm)[hmr]", re.I)
 _NOISE = re.compile(
     rf"\(\(\s*(?:{SOUNDS})\b[^()\n]*\)\)|[\[({{<*]\s*(?:{SOUNDS})\b[^\])}}>*\n]{{0,40}}[\])}}>*]|[♪♫][^♪♫\n]*[♪♫]"
     r"|(?<!\S)(?:u+h*m+|u+h+m*|e+r+m*|h+m+|m{2,})(?:\.{1,3}|…|,|-)*(?=\s|$)(?:\s+-(?=\s|$))?",
@@ -300,27 +517,53 @@ _NOISE = re.compile(
 )
 
 
-def spoken(text: str) -> str:
-    """The words of a transcript in order of time, without times, labels, sound notes and hesitations; a voice's words
-    that run over several lines stand together."""
-    if ":" not in text and "[" not in text and "(" not in text:
-        return " ".join(_NOISE.sub(" ", text).split())
-    cues: list[tuple[float, int, str]] = []
+
+class Spoken:
+    """The words of a transcript in order of time, and where each stands in it."""
+
+    def __init__(self, words: list[tuple[str, int]]):
+        self.text = " ".join(w for w, _ in words)
+        self.starts, at = [], 0
+        self.words = words
+        for w, _ in words:
+            self.starts.append(at)
+            at += len(w) + 1
+
+    def spans(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The places in the transcript of what stands from a to b here."""
+        out = []
+        for k in range(bisect_right(self.starts, a) - 1, len(self.words)):
+            w, at = self.words[k]
+            x, y = max(a - self.starts[k], 0), min(b - self.starts[k], len(w))
+            if self.starts[k] >= b:
+                break
+            if x < y:
+                out.append((at + x, at + y))
+        return out
+
+
+def spoken(text: str) -> Spoken:
+    """Without times, labels, sound notes and hesitations; a voice's words that run over several lines stand together."""
+    cues: list[tuple[float, int, list[tuple[str, int]]]] = []
     when, last = -1.0, None
-    lines = text.splitlines()
-    for i, line in enumerate(lines):
-        line = line.strip()
+    lines = text.splitlines(keepends=True)
+    at = 0
+    for i, raw in enumerate(lines):
+        begin, at = at, at + len(raw)
+        line = raw.strip()
         if not line or line == last or (line.isdigit() and i + 1 < len(lines) and "-->" in lines[i + 1]):
             continue
         last = line
+        begin += raw.index(line)
         m = _PREFIX.match(line)
         stamp = line if "-->" in line[:40] else m.group("at") or m.group("at2")
-        if stamp and (at := seconds(stamp)) is not None:
-            when = at
-        rest = line[m.end() :]
-        cues.append((when, i, rest))
+        if stamp and (t := seconds(stamp)) is not None:
+            when = t
+        # noise gives way to blanks of its own length, so that places stay
+        rest = _NOISE.sub(lambda x: " " * (x.end() - x.start()), line[m.end() :]) if _NOISY.search(line) else line[m.end() :]
+        cues.append((when, i, [(x.group(), begin + m.end() + x.start()) for x in TOKEN.finditer(rest)]))
     cues.sort(key=lambda c: c[:2])
-    return " ".join(_NOISE.sub(" ", " ".join(c[2] for c in cues)).split())
+    return Spoken([w for c in cues for w in c[2]])
 
 
 # ---------------------------------------------------------------- operators
@@ -335,11 +578,9 @@ def _union(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
     return out
 
 
-def _sample(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
-    """LEARN_ROWS texts of the first table."""
-    _, df, key, text, _ = parts[0]
-    keyed = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(text).alias("text"), F.col(key).alias("key"))
-    return bounded(keyed, F.col("key"), LEARN_ROWS).select("text").repartition(8)
+def _learnt(parts: list[tuple[str, DataFrame, str, str, bool]]):
+    """The model of all texts of all parts, sent to all executors; its size is bounded as `learn` tells."""
+    return parts[0][1].sparkSession.sparkContext.broadcast(learn(_union(parts).select("text", "transcript")))
 
 
 def entities(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
@@ -348,14 +589,14 @@ def entities(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
     parts: (name of the table, rows, key column, text column, whether texts are noisy transcripts). Null keys and null
     and blank texts have no rows; of a key that stands several times all texts count.
     """
-    model = parts[0][1].sparkSession.sparkContext.broadcast(learn(_sample(parts)))
+    model = _learnt(parts)
 
     def run(batches):
         for batch in batches:
             out: list[tuple[str, str, str, str]] = []
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for table, key, text, transcript in zip(*cols):
-                t = spoken(text) if transcript else text
+                t = spoken(text).text if transcript else text
                 seen = {(kind, plain(t[a:b])) for kind, a, b in model.value.find(t)}
                 out += [(table, key, kind, value) for kind, value in sorted(seen)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], ["src_table", "row_key", "pii_type", "pii_value"])
@@ -363,26 +604,32 @@ def entities(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
     return _union(parts).mapInArrow(run, "src_table string, row_key string, pii_type string, pii_value string").distinct()
 
 
-def redact(text: str, model: Model) -> str:
-    """The text with each entity replaced by its type in brackets."""
+def redact(text: str, model: Model, transcript: bool = False) -> str:
+    """The text with each entity replaced by its type in brackets; everything else stays as it stands. In a transcript
+    an entity that runs over several lines or past a sound gives its place to one placeholder where it begins."""
+    view = spoken(text) if transcript else None
+    holes: list[tuple[int, int, str]] = []
+    for kind, a, b in model.find(view.text if view else text):
+        for i, (x, y) in enumerate(view.spans(a, b) if view else [(a, b)]):
+            holes.append((x, y, "" if i else f"[{kind.upper()}]"))
     out, at = [], 0
-    for a, b, kind in sorted((a, b, k) for k, a, b in model.find(text)):
+    for a, b, mark in sorted(holes):
         if a >= at:
-            out += [text[at:a], f"[{kind.upper()}]"]
+            out += [text[at:a] if mark or text[at:a].strip() else "", mark]
             at = b
     return "".join(out) + text[at:]
 
 
 def redacted(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
-    """(src_table, row_key, text): the texts with typed placeholders; of transcripts the spoken words.
+    """(src_table, row_key, text): the texts with typed placeholders, otherwise unchanged.
 
     Null keys and texts have no rows; blank texts stay as they are.
     """
-    model = parts[0][1].sparkSession.sparkContext.broadcast(learn(_sample(parts)))
+    model = _learnt(parts)
 
     def run(batches):
         for batch in batches:
-            texts = [redact(spoken(t) if s else t, model.value) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [redact(t, model.value, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["src_table", "row_key", "text"])
 
     return _union(parts).mapInArrow(run, "src_table string, row_key string, text string")

@@ -46,9 +46,43 @@ def test_clean_turns_counts_a_file_once(spark):
     assert turns.clean_turns(df.limit(0), "source_file", "original_text").count() == 0
 
 
-def test_fitting_keeps_the_reading():
-    texts = ["[00:01] Caller: hm, hello\n[00:02] Victim: yes (pause) no"] * 20
-    assert turns.turns_of(texts[0], turns.fit(texts)) == turns.turns_of(texts[0], MODEL)
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Alice: one two\nBob: three\nAlice: four", [("caller", 2), ("receiver", 1), ("caller", 1)]),
+        ("Caller: one\nOperator: two three\nVictim: four", [("caller", 1), ("narrator", 2), ("receiver", 1)]),
+        ("one two\nReceiver: three\nCaller: four", [("receiver", 3), ("caller", 1)]),  # words before the first label
+        ("Note: a b\nc d", []),  # one name before a colon is no label
+        ("Caller: a [door slams] b *coughs* c ♪ la la ♪ d", [("caller", 4)]),  # sounds known and unknown, stars and tunes
+        ("Caller: write to x [at] mail [dot] test now", [("caller", 8)]),
+        ("Caller: ring (338) 555-0174 at 6:30, price 230/- only", [("caller", 8)]),
+        ("[0:09] Anchr - a\n(9.5s) <Custommer> b", [("receiver", 1), ("narrator", 1)][::-1]),
+    ],
+)
+def test_turns_from_shape_and_place(text, want):
+    assert [(s, turns.count_words(w)) for s, w in turns.turns_of(text, MODEL)] == want
+
+
+def test_fitting_and_decoding_decide(spark):
+    """Fitting moves the model; without the sequence, each token by itself, the planted cases come out worse."""
+    texts = ["[00:01] Caller: hm, hello\n[00:02] Victim: yes (pause) be there at 6:30 sharp", "Caller: x [at] mail, [door slams] no\nVictim: (338) 555 ok"] * 20
+    model = turns.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model != MODEL
+    want = [[("caller", 1), ("receiver", 6)], [("caller", 4), ("receiver", 3)]]
+    got = [[(s, turns.count_words(w)) for s, w in turns.turns_of(t, model)] for t in texts[:2]]
+    assert got == want
+    emit = model[0]
+    alone = lambda symbols, _: tuple(max(range(5), key=lambda s: emit[s][k]) for k in symbols)
+    kept, turns.viterbi = turns.viterbi, alone
+    try:
+        assert [[(s, turns.count_words(w)) for s, w in turns.turns_of(t, model)] for t in texts[:2]] != want
+    finally:
+        turns.viterbi = kept
+
+
+@pytest.mark.parametrize(("label", "want"), [("Reciever", "receiver"), ("CALLLER", "caller"), ("voice-over", "narrator"), ("speaker_02", "receiver"), ("S3", "narrator"), ("Alice", None), ("person", None), ("", None)])
+def test_roles(label, want):
+    assert turns.role(label) == want
 
 
 # ---------------------------------------------------------------- 4
@@ -58,53 +92,84 @@ def test_fitting_keeps_the_reading():
     ("text", "want"),
     [
         ("mail a.b+c@x.example.org now", {("email", "abcxexampleorg")}),
-        ("write to Ann dot Lee at post dot test today", {("email", "anndotleeatpostdottest")}),
-        ("x [at] mail.example", {("email", "xatmailexample")}),
-        ("+91-142-423-9985 or (338) 555-0174 or 07700 900278", {("phone", "911424239985"), ("phone", "3385550174"), ("phone", "07700900278")}),
-        ("on one nine eight eight six two seven seven zero three after", {("phone", "onenineeighteightsixtwosevensevenzerothree")}),
-        ("0953-6139-0742, 000-13-7620, SSMXZ9098Y, Q4318775, QL77 2028 2267288", {("id_number", x) for x in ("095361390742", "000137620", "ssmxz9098y", "q4318775", "ql7720282267288")}),
-        ("at H.No. 37/86, Gali No. 6, Mallowgarh behind", {("street_address", "hno3786galino6mallowgarh")}),
-        ("at Flat 21C, Kemo Residency, 2th Cross Road, Sonagarh 170998 since", {("street_address", "flat21ckemoresidency2thcrossroadsonagarh170998")}),
+        ("she is at 12 Kemo Street, Sonagarh today", {("street_address", "12kemostreetsonagarh")}),
         ("Calle Kipade 14, 6B, Eastwadi desde; 8 bis avenue Darsoro, 39999 Mallowtola depuis", {("street_address", "callekipade146beastwadi"), ("street_address", "8bisavenuedarsoro39999mallowtola")}),
-        ("ORD9993324, XD-64310, TB/905/36, 4,736 and 363838 rupees on 2031-05-11", set()),
         ("", set()),
     ],
 )
-def test_shapes(text, want):
-    assert {(k, identity.plain(text[a:b])) for k, a, b in identity.shaped(text)} == want
+def test_seeds(text, want):
+    assert {(k, identity.plain(text[a:b])) for k, a, b in identity.seeds(text, text.lower())} == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("write to Ann dot Lee at post dot test today", {("spelled", "anndotleeatpostdottest")}),
+        ("x [at] mail.example", {("spelled", "xatmailexample")}),
+        ("on one nine eight eight six two seven seven zero three after", {("spoken", "onenineeighteightsixtwosevensevenzerothree")}),
+        ("+91-142-423-9985 or (338) 555-0174", {("+00-000-000-0000", "911424239985"), ("(000) 000-0000", "3385550174")}),
+        ("SSMXZ9098Y, QL77 2028 2267288", {("AAAAA0000A", "ssmxz9098y"), ("AA00 0000 0000000", "ql7720282267288")}),
+        ("TB/905/36, 4,736 and 363838 rupees on 2031-05-11", {("0000-00-00", "20310511")}),
+    ],
+)
+def test_forms(text, want):
+    got = {(f, identity.plain(text[a:b])) for f, a, b in identity.numbers(text)} | {(f, identity.plain(text[a:b])) for _, f, a, b in identity.spelled(text.lower())}
+    assert got == want
 
 
 @pytest.fixture(scope="module")
 def taught(spark):
+    """Forms that no pattern of the library holds: telephones `00.00.00` behind T, identity numbers AAA-0000-AAA of
+    eleven places, addresses of the layout `Block 0, W Quarter, W`; names that are no seeds."""
     r = random.Random(1)
-    names = ["ankit", "deepak", "hannah", "kavya", "zubin", "oona"]  # the last two are no seeds
+    names = ["ankit", "deepak", "hannah", "kavya", "zubin", "oona"]
+    towns = [a + b for a in ("Sona", "Mira", "Bela", "Kess", "Ostr", "Tull", "Varn", "Rysl", "Elms", "Nabb") for b in ("garh", "field", "ton", "wadi", "pur", "burg")]
     rows = []
-    for i in range(400):
-        n, s = r.choice(names).title(), r.choice(["Lokdhare", "Patwani", "Nelbari"])
-        rows.append((i, f"caller: The account is held by {n} {s} since 2019. I will wait in Sonagarh.\nreceiver: I already told {n} everything. {n} Bank called on 9{r.randrange(10**8, 10**9)}."))
-        rows.append((1000 + i, f"caller: Note my number, +91 {r.randrange(10**4, 10**5)} {r.randrange(10**4, 10**5)} is the one."))
-    df = spark.createDataFrame(rows, "rec_id bigint, text string")
-    return identity.learn(df.select("text"))
+    for i in range(500):
+        n, s, t = r.choice(names).title(), r.choice(["Lokdhare", "Patwani", "Nelbari"]), r.choice(towns)
+        phone = r.choice([f"+91 {r.randrange(10**4, 10**5)} {r.randrange(10**4, 10**5)}", f"{r.randrange(100, 999)}-{r.randrange(1000, 9999)}-{r.randrange(10, 99)}"])
+        card = r.choice([f"{r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", f"ZQ{r.randrange(10**6, 10**7)}"])
+        home = r.choice([f"{r.randrange(1, 99)} {r.choice(towns)} Street, {t}", f"Block {r.randrange(1, 99)}, {r.choice(towns)} Quarter, {t}"])
+        rows.append(f"caller: The account is held by {n} {s} since 2019. I will wait in {t}.\nreceiver: I already told {n} everything. {n} Bank called on 9{r.randrange(10**8, 10**9)}.")
+        rows.append(f"caller: Note my number, {phone} is the one.\nreceiver: My identity card says {card} on it.\ncaller: I live at {home} since last year.")
+        rows.append(f"caller: The order QK{r.randrange(10**6, 10**7)} costs {r.randrange(10**6, 10**7)} in {t}.")
+    df = spark.createDataFrame([(x,) for x in rows], "text string").selectExpr("text", "false AS transcript")
+    return identity.learn(df)
+
+
+def test_forms_are_discovered(taught):
+    assert taught.forms["000-0000-00"] == "phone"
+    text = "Her flat is Block 7, Elmsta Quarter, Kesspur near the shop, ring 123-4567-89 or mail a@b.co."
+    assert {(k, identity.plain(text[a:b])) for k, a, b in taught.find(text)} == {("street_address", "block7elmstaquarterkesspur"), ("phone", "123456789"), ("email", "abco")}
+
+
+def test_contexts_tell_equal_forms_apart(taught):
+    text = "My identity card says ZQ7654321 on it. The order QK1234567 costs 7654321 in Belaton."
+    assert [(k, text[a:b]) for k, a, b in taught.find(text)] == [("id_number", "ZQ7654321")], (taught.forms, taught.contexts)
+    text = "Note my number, 3252382876 is the one. I paid 3252382876."
+    assert [k for k, a, b in taught.find(text)] == ["phone"]
 
 
 def test_unseen_names_are_discovered(taught):
-    assert {"zubin", "oona"} <= taught.given and "sonagarh" not in taught.given
+    assert {"zubin", "oona"} <= taught.given and "sonagarh" not in taught.given and len(identity.SEED_NAMES) <= 10
     text = "This account is held by Zubin B. Patwani since 2019, ask Oona Bank or OONA."
     assert {identity.plain(text[a:b]) for k, a, b in taught.find(text) if k == "person_name"} == {"zubinbpatwani", "oona"}
 
 
-def test_contexts_find_other_shapes(taught):
-    text = "Note my number, 3252382876 is the one. I paid 3252382876."
-    assert [k for k, a, b in taught.find(text)] == ["phone"]
+def test_redaction_keeps_the_rest(taught):
     assert identity.redact("mail a@b.co to Ankit now", taught) == "mail [EMAIL] to [PERSON_NAME] now"
+    text = "[00:02] Victim: no\n[00:05] Caller: um, this is  Ankit\n[00:07] Caller: [laughs] Lokdhare, ok (pause)\n"
+    assert identity.redact(text, taught, True) == "[00:02] Victim: no\n[00:05] Caller: um, this is  [PERSON_NAME]\n[00:07] Caller: [laughs] , ok (pause)\n"
 
 
 def test_entities_edges(spark):
     a = spark.createDataFrame([(1, "mail x@y.example", 7), (1, "mail x@y.example", 8), (2, None, 9), (None, "z@y.example", 9), (3, "", 9)], "rec_id bigint, text string, row_key int")
-    b = spark.createDataFrame([("f", "(0:01) Caller: my mail is x at y um dot\n(0:04) Caller: example ok")], "source_file string, original_text string")
+    b = spark.createDataFrame([("f", "(0:01) Caller: my mail is x@y um\n(0:04) Caller: ok")], "source_file string, original_text string")
     parts = [("t", a, "rec_id", "text", False), ("f", b, "source_file", "original_text", True)]
-    assert {tuple(r) for r in identity.entities(parts).collect()} == {("t", "1", "email", "xyexample"), ("f", "f", "email", "xatydotexample")}
-    assert {r.text for r in identity.redacted(parts).collect()} == {"mail [EMAIL]", "", "my mail is [EMAIL] ok"}
+    assert {tuple(r) for r in identity.entities(parts).collect()} == {("t", "1", "email", "xyexample"), ("f", "f", "email", "xy")}
+    assert {r.text for r in identity.redacted(parts).collect()} == {"mail [EMAIL]", "", "(0:01) Caller: my mail is [EMAIL] um\n(0:04) Caller: ok"}
+    none = [("t", a.limit(0), "rec_id", "text", False), ("f", b.limit(0), "source_file", "original_text", True)]
+    assert identity.entities(none).count() == 0
 
 
 # ---------------------------------------------------------------- 6

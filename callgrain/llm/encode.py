@@ -24,6 +24,8 @@ VOCABULARY = os.environ.get("CALLGRAIN_VOCABULARY", "/opt/tokenizers/byte_bpe_50
 #: The published way in which this vocabulary cuts text into pieces before merging. Fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF, RUN = 8192, 4096
+#: Neighbouring parts of a text that one task joins in one round.
+FAN = 32
 
 
 @lru_cache(maxsize=2)
@@ -103,18 +105,18 @@ def join_parts(enc, left: Encoded, right: Encoded, run: int = RUN) -> Encoded:
         grow *= 2
 
 
-def encode_tree(enc, parts: list[Encoded], run: int = RUN) -> list[int]:
-    """The ids of a text from its encoded leaves, joined two and two."""
+def encode_tree(enc, parts: list[Encoded], run: int = RUN) -> Encoded:
+    """The encoding of neighbouring parts of a text, joined two and two."""
     while len(parts) > 1:
         parts = [join_parts(enc, parts[i], parts[i + 1], run) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0][1] if parts else []
+    return parts[0] if parts else ("", [], [0], [0])
 
 
 def encode_text(text: str | None, path: str = VOCABULARY, leaf: int = LEAF, run: int = RUN) -> list[int]:
     """The ids of one text, by halves wherever it is long; null and empty texts give no ids."""
     enc = encoder(path)
     parts = [text[i : i + leaf] for i in range(0, len(text or ""), leaf)]
-    return encode_tree(enc, [(p, *encode_leaf(enc, p, run)) for p in parts], run)
+    return encode_tree(enc, [(p, *encode_leaf(enc, p, run)) for p in parts], run)[1]
 
 
 def _ids(lists: list[list[int]]) -> pa.Array:
@@ -130,6 +132,20 @@ def _short(path: str):
     return run
 
 
+_UID = "uid struct<doc_id:bigint,h:bigint,u:bigint>"
+_PART = f"{_UID}, k int, text string, ids array<int>, at array<int>, starts array<int>"
+
+
+def _cut(leaf: int):
+    def run(batches):
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                parts = [t[a : a + leaf] for a in range(0, len(t), leaf)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), batch.column(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["uid", "k", "text"])
+
+    return run
+
+
 def _leaves(path: str):
     def run(batches):
         enc = encoder(path)
@@ -144,13 +160,13 @@ def _joined(path: str):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            out = [encode_tree(enc, [(p["text"], p["ids"], p["at"], p["starts"]) for p in parts]) for parts in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _ids(out)], ["doc_id", "ids"])
+            out = [encode_tree(enc, [(p["text"], p["ids"], p["at"], p["starts"]) for p in parts]) for parts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.string()), *(_ids([x[i] for x in out]) for i in (1, 2, 3))], ["uid", "k", "text", "ids", "at", "starts"])
 
     return run
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(doc_id, ids) of every row, without special tokens; strings that look like special tokens are ordinary text.
 
     The empty and the null text get an empty list. Rows with a null id or with an id that stands several times are
@@ -159,10 +175,15 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str = VOCABUL
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > leaf
     short = rows.where(~long).mapInArrow(_short(path), "doc_id bigint, ids array<int>")
-    cutting = F.transform(F.sequence(F.lit(0), (F.length("text") - 1).cast("bigint"), F.lit(leaf).cast("bigint")), lambda i: F.substring("text", i.cast("int") + 1, F.lit(leaf)))
     uid = F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"))
-    named = rows.where(long).withColumn("uid", uid)  # before the rows are multiplied
-    leaves = named.select("uid", F.posexplode(cutting).alias("k", "text")).repartition("uid", "k")
-    parts = leaves.mapInArrow(_leaves(path), "uid struct<doc_id:bigint,h:bigint,u:bigint>, k int, text string, ids array<int>, at array<int>, starts array<int>")
-    whole = parts.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "text", "ids", "at", "starts"))).alias("parts"))
-    return short.union(whole.select("uid.doc_id", "parts").mapInArrow(_joined(path), "doc_id bigint, ids array<int>"))
+    named = rows.where(long).select(uid.alias("uid"), "text")  # before the rows are multiplied
+    # a fixed number of partitions, which no later step folds together: leaves are few rows but much work
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    parts = named.mapInArrow(_cut(leaf), f"{_UID}, k int, text string").repartition(tasks, "uid", "k").mapInArrow(_leaves(path), _PART)
+    most = rows.agg(F.max(F.length("text"))).first()[0] or 0
+    left = -(-most // leaf)
+    while left > 1:  # a round joins `fan` neighbours in one task, so that no task holds more of a text than it must
+        group = parts.groupBy("uid", F.floor(F.col("k") / fan).cast("int").alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "text", "ids", "at", "starts"))).alias("parts"))
+        parts = group.mapInArrow(_joined(path), _PART)
+        left = -(-left // fan)
+    return short.union(parts.select("uid.doc_id", "ids"))

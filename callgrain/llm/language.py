@@ -182,15 +182,66 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
+def _fitted(rows: DataFrame):
+    """The model fitted on TRAIN_ROWS labelled rows (rec_id, text, label) at most, sent to all executors."""
+    labelled = bounded(rows.where("label IS NOT NULL AND trim(label) <> ''"), F.col("rec_id"), TRAIN_ROWS)
+    sample = [(r.text, x) for r in labelled.select("text", "label").collect() if (x := named_language(r.label))]
+    return rows.sparkSession.sparkContext.broadcast(fit(sample))
+
+
+def parts(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(rec_id, part_no, first_word, n_words, lang, confidence, ambiguous): the parts of a text in one language each.
+
+    Neighbouring sentences of one language are one part. Sentences too short to tell go with the part before, or with
+    the first. A part whose nearest codeword leads by LEAD or less is ambiguous. Null and blank texts have no rows.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where("rec_id IS NOT NULL AND text IS NOT NULL")
+    model = _fitted(rows)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at, part in tc.chunks(batch.column(1).to_pylist()):
+                doc, *rest = parts_of(part, model.value)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at + d] for d in doc], pa.int64()), *(pa.array(x, k) for x, k in zip(rest, kinds))], ["rec_id", "part_no", "first_word", "n_words", "lang", "confidence", "ambiguous"])
+
+    return rows.mapInArrow(run, "rec_id bigint, part_no int, first_word bigint, n_words bigint, lang string, confidence double, ambiguous boolean")
+
+
+def parts_of(texts: list[str], model: Model) -> tuple[list, ...]:
+    """Of a chunk: text, number, first word, words, language, confidence and ambiguity of each part."""
+    s = sentences_of(texts)
+    if s is None:
+        return [], [], [], [], [], [], []
+    score, counted = bit_scores(s, model.weights)
+    cls, _, _ = model.decode(score)
+    lang = np.array([0, 1, 1, 2, 3])[cls]
+    told = counted >= SENTENCE_WORDS
+    # a sentence that is too short takes the language of the last one before it that isn't, or else of the first
+    begin = np.searchsorted(s.doc, s.doc)
+    last = np.maximum.accumulate(np.where(told, np.arange(len(told)), -1))
+    after = np.minimum.accumulate(np.where(told, np.arange(len(told)), len(told))[::-1])[::-1]
+    own = np.where(last >= begin, last, np.where((after < len(told)) & (s.doc[np.minimum(after, len(told) - 1)] == s.doc), after, np.arange(len(told))))
+    lang = lang[own]
+    new = np.flatnonzero(np.concatenate(([True], (s.doc[1:] != s.doc[:-1]) | (lang[1:] != lang[:-1]))))
+    weight = np.maximum(np.add.reduceat(counted, new), 1)
+    whole = np.add.reduceat(score * counted[:, None], new, axis=0) / weight[:, None]
+    _, lead, sure = model.decode(whole.astype(np.float32))
+    doc = s.doc[new]
+    place = np.arange(len(new)) - np.searchsorted(doc, doc)
+    base = s.first[np.searchsorted(s.doc, doc)]
+    names = ("en", "hi", "es", "fr")
+    return doc.tolist(), (place + 1).tolist(), (s.first[new] - base + 1).tolist(), np.add.reduceat(s.n_words, new).tolist(), [names[k] for k in lang[new]], sure.astype(float).tolist(), (lead <= LEAD).tolist()
+
+
 def segments(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(rec_id, lang, n_words, n_sentences, confidence, total_words, label): a row per language of a text.
 
     Texts without a sentence of SENTENCE_WORDS words count as one sentence. Null and blank texts have no rows.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where("rec_id IS NOT NULL AND text IS NOT NULL")
-    labelled = bounded(rows.where("label IS NOT NULL AND trim(label) <> ''"), F.col("rec_id"), TRAIN_ROWS)
-    sample = [(r.text, x) for r in labelled.select("text", "label").collect() if (x := named_language(r.label))]
-    model = rows.sparkSession.sparkContext.broadcast(fit(sample))
+    model = _fitted(rows)
 
     def run(batches):
         for batch in batches:

@@ -33,6 +33,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return content_groups(spread(table(spark, d, "count_analysis")), "rec_id", "text")
 
 
+def p3_letters(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.layout import letter_groups
+
+    return letter_groups(spread(table(spark, d, "count_analysis")), "rec_id", "text")
+
+
 def _pii_parts(spark: SparkSession, d: str) -> list:
     calls, files = spread(table(spark, d, "count_analysis")), spread(table(spark, d, "filter_transcripts"))
     return [("count_analysis", calls, "rec_id", "text", False), ("filter_transcripts", files, "source_file", "original_text", True)]
@@ -74,6 +80,12 @@ def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
     return reliabilities(answers(table(spark, d, "compute_annotation_metrics"), table(spark, d, "annotator_sheets")))
 
 
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.consensus import consensus
+
+    return consensus(table(spark, d, "compute_annotation_metrics"), table(spark, d, "annotator_sheets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.language import language_cases
 
@@ -86,6 +98,12 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     return segments(spread(table(spark, d, "count_analysis")), "rec_id", "text", "lang")
 
 
+def p7_parts(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.language import parts
+
+    return parts(spread(table(spark, d, "count_analysis")), "rec_id", "text", "lang")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.encode import encode_corpus
 
@@ -104,6 +122,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.leakage import without_leaks
+
+    return without_leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items")).select("doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.residue import residue
 
@@ -133,6 +157,11 @@ P9_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documen
  x AS (SELECT doc_id, {_WINDOWS} AS g FROM d WHERE len(w) >= 12), y AS (SELECT DISTINCT item_id, {_WINDOWS} AS g FROM i WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)"""
 
 
+P9_CLEAN_SQL = f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P9_SQL}))"
+P3_LETTERS_SQL = r"""SELECT min(rec_id) AS keep_id, count(*) AS n_copies FROM (SELECT rec_id, regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]|[\x{FE00}-\x{FE0F}]', '', 'g') AS k FROM count_analysis WHERE text IS NOT NULL)
+ WHERE k <> '' GROUP BY k HAVING count(*) > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries aren't expressible in SQL, or take it too long on whole tables; brute force in tests holds them."""
-    return {"p9_found": P9_SQL}
+    return {"p9_found": P9_SQL, "p9_clean": P9_CLEAN_SQL, "p3_letters": P3_LETTERS_SQL}

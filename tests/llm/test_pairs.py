@@ -120,11 +120,33 @@ def test_records_in_any_notation(spark):
     assert got == {(0, 6), (6, 2)}
 
 
-@pytest.mark.parametrize("text", ["caller: a\nreceiver: b\nagent: c", "a: 1\nb: 2", "a: 1\na: 2\na: 3", "", "x", "{}", "{bad: 1, ", "a: 1\nb\nc: 2"])
+@pytest.mark.parametrize("text", ["caller: a\nreceiver: b\nagent: c", "a: 1", "a: 1\na: 2\na: 3", "", "x", "{}", "{bad: 1, ", "a: 1\nb\nc: 2"])
 def test_what_is_no_record(text):
     assert parse_record(text) is None
 
 
+def test_white_space_and_names():
+    long = "a name of many words that is longer than any field name should be"
+    for a, b in [("\n\n loss: 40\ncase: 1\nfirm: abc", "firm: abc\nloss: 40\ncase: 1\n"), ('{\n  "a": 1,\n  "b": 2\n}', '{"b": 2, "a": 1}'), ("a: 1\nb: 2", "b=2; a=1"), (f"{long}: x\ny: z", f"y: z | {long.upper()}: x")]:
+        assert parse_record(a) is not None and parse_record(a) == parse_record(b)
+
+
+def test_repeated_keys_stay():
+    a, b = parse_record('{"a": 1, "a": 2, "b": 3, "c": 4}'), parse_record('{"a": 2, "b": 3, "c": 4}')
+    assert a != b and layout.merkle(a) != layout.merkle(b)
+    assert a == parse_record('{"c": 4, "a": 2, "b": 3, "a": 1}')
+
+
+def test_letter_groups(corpus):
+    rows, df = corpus
+    held = {}
+    for i, t, *_ in rows:
+        if i is not None and t and letters(t):
+            held.setdefault(letters(t), []).append(i)
+    got = {(r.keep_id, r.n_copies) for r in layout.letter_groups(df, "rec_id", "text").collect()}
+    assert got == {(min(v), len(v)) for v in held.values() if len(v) > 1}
+
+
 def test_nested_records():
     a = parse_record('{"a": {"x": [1, 2], "y": "Z"}, "b": null, "c": "q"}')
     assert a == parse_record('{"c": "Q!", "b": "", "a": {"y": "z", "x": ["1", "2"]}}')

@@ -194,6 +194,28 @@ def test_consensus_prefers_the_reliable(spark):
     assert p["annotator 1"] > p["z"] > 0.6 > p["x"]
 
 
+def test_few_partners_are_enough(spark, monkeypatch):
+    """With fewer partners than annotators all get a reliability, near that from all triplets."""
+    r = random.Random(8)
+    rows = []
+    for i in range(500):
+        t = r.randint(1, 8)
+        rows += [(f"i{i}", f"a{k}", str(t if r.random() < 0.5 + 0.05 * k else r.randint(1, 8)), datetime(2031, 1, 2)) for k in range(9)]
+    first = spark.createDataFrame([], "blind_id string, a1_cat string, a2_cat string")
+    given = consensus.answers(first, sheets(spark, rows))
+    whole = {x.annotator: x.accuracy for x in consensus.reliabilities(given).collect()}
+    monkeypatch.setattr(consensus, "PARTNERS", 4)
+    few = {x.annotator: x.accuracy for x in consensus.reliabilities(given).collect()}
+    assert whole.keys() == few.keys() and all(abs(whole[a] - few[a]) < 0.1 for a in whole)
+    assert whole["a0"] < whole["a4"] < whole["a8"]
+
+
+def test_consensus_tells_agreement(spark):
+    df = spark.createDataFrame([("a", "1", "1"), ("b", "1", "2"), ("c", "3", None)], "blind_id string, a1_cat string, a2_cat string")
+    got = {x.blind_id: (x.n_answers, x.n_classes, x.agreement) for x in consensus.consensus(df, sheets(spark, [])).collect()}
+    assert got == {"a": (2, 1, 1.0), "b": (2, 2, 0.0), "c": (1, 1, None)}
+
+
 def test_answers_edges(spark):
     df = spark.createDataFrame([("a", "8.", "no scam"), ("a", "8.", "no scam"), (None, "1", "1")], "blind_id string, a1_cat string, a2_cat string")
     s = sheets(spark, [("a", "x", "3", datetime(2031, 1, 1)), ("a", "x", "unsure", datetime(2031, 1, 2)), ("a", "y", "Customer-Care scam", None), ("a", None, "2", None), ("b", "y", "9", None)])
@@ -230,6 +252,17 @@ def test_language_cases(spark):
     assert language.language_cases(df.limit(0), "rec_id", "text", "lang").count() == 0
 
 
+def test_language_parts(spark):
+    r = random.Random(3)
+    rows = [(i, lang, ". ".join(r.choice(LINES[lang]) for _ in range(4)) + ".") for i in range(300) for lang in [r.choice(list(LINES))]]
+    rows += [(1000, "en", LINES["en"][0] + ". Ok.\n" + LINES["fr"][2] + ". " + LINES["fr"][1] + "."), (1001, None, None), (1002, None, "?"), (1003, None, "zq xv")]
+    df = spark.createDataFrame(rows, "rec_id bigint, lang string, text string")
+    got = language.parts(df, "rec_id", "text", "lang").where("rec_id >= 1000").orderBy("rec_id", "part_no").collect()
+    assert [(x.part_no, x.first_word, x.n_words, x.lang, x.ambiguous) for x in got if x.rec_id == 1000] == [(1, 1, 10, "en", False), (2, 11, 15, "fr", False)]
+    assert all(0.25 <= x.confidence <= 1 for x in got) and {x.rec_id for x in got} == {1000, 1003}
+    assert all(x.ambiguous for x in got if x.rec_id == 1003)
+
+
 def test_code_distance():
     c = language.CODE
     assert c.shape == (5, 15)
@@ -268,7 +301,7 @@ def test_encode_corpus(spark):
     enc = encode.encoder(encode.VOCABULARY)
     texts = ["", None, "<|endoftext|> hi", "x y " * 5000, "z" * 20000, "ab"]
     rows = [(i, t, "k", [1]) for i, t in enumerate(texts)] + [(5, "ab", "k", [1]), (None, "q" * 9000, "k", [1])]
-    got = encode.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string, uid string, ids array<int>"), "doc_id", "text").collect()
+    got = encode.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string, uid string, ids array<int>"), "doc_id", "text", leaf=300, fan=4).collect()
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), enc.encode_ordinary(t) if t else []) for i, t, *_ in rows)
 
@@ -307,6 +340,19 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(d.limit(0), e).count() == 0 and leakage.leaks(d, e.limit(0)).count() == 0
 
 
+def test_many_labels_and_parts(spark):
+    """Items of many empty label lines stay cheap; items taken in parts give the same."""
+    words = [f"w{i}" for i in range(40)]
+    many = "\n".join(["caller:", "receiver:"] * 60) + "\n" + "\n".join(f"{'caller' if i % 2 else 'receiver'}: {w}" for i, w in enumerate(words))
+    assert len(leakage.item_suffixes(many)) < 200_000
+    items = [(1, many), (2, " ".join(words[::-1])), (3, "caller: " + " ".join(words[5:20]))]
+    docs = [(1, " ".join(words[3:16])), (2, " ".join(words[::-1][2:15])), (3, "caller w1 receiver w2 caller w3 receiver w4 caller w5 receiver w6 x"), (4, " ".join(words[:11]))]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {(r.doc_id, r.item_id, r.longest_words) for r in leakage.leaks(d, e).collect()}
+    assert whole == {(r.doc_id, r.item_id, r.longest_words) for r in leakage.leaks(d, e, part_chars=50).collect()}
+    assert {x[:2] for x in whole} == {(1, 1), (2, 2), (3, 1)}
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -107,5 +107,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components aren't done after {MOST_ROUNDS} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.join(e.select(F.col("a").alias("node")), "node", "left_anti")).distinct()

@@ -63,12 +63,16 @@ def leak_exact_last(spark: SparkSession, d: str) -> DataFrame:
     return docs.where("split = 'test'").join(train, "h").select(F.col("rec_id").alias("test_id"), "train_id")
 
 
-@query(f"WITH k AS (SELECT rec_id, split, {NORM} AS k FROM count_analysis WHERE text IS NOT NULL) SELECT a.rec_id AS test_id, b.rec_id AS train_id FROM k a JOIN k b ON a.k = b.k WHERE a.split = 'test' AND b.split = 'train' AND a.k <> ''")
+@query(f"WITH k AS (SELECT rec_id, split, {NORM} AS k FROM count_analysis WHERE text IS NOT NULL), t AS (SELECT k, count(*) AS n_train, min(rec_id) AS train_id FROM k WHERE split = 'train' AND k <> '' GROUP BY k) SELECT rec_id AS test_id, train_id, n_train FROM k JOIN t USING (k) WHERE split = 'test'")
 def leak_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of a test and a train row of the same normalised text; blank ones are left out."""
+    """Each test row whose normalised text stands in train: with the first such train row and how many there are.
+
+    A text that a third of the rows hold would make pairs without number; a row per test row loses none of them, since
+    all train rows of one text are alike. Blank ones are left out.
+    """
     docs = table(spark, d, "count_analysis").where("text IS NOT NULL").select("rec_id", "split", T.mask_contacts(F.col("text")).alias("k")).where("k <> ''").select("rec_id", "split", T.digest(F.col("k")).alias("h"))
-    test, train = docs.where("split = 'test'"), docs.where("split = 'train'")
-    return test.select("h", F.col("rec_id").alias("test_id")).join(train.select("h", F.col("rec_id").alias("train_id")), "h").drop("h")
+    train = docs.where("split = 'train'").groupBy("h").agg(F.count("*").alias("n_train"), F.min("rec_id").alias("train_id"))
+    return docs.where("split = 'test'").join(train, "h").select(F.col("rec_id").alias("test_id"), "train_id", "n_train")
 
 
 @query("SELECT filepath, count(*) AS loads, epoch(min(loaded_at))::BIGINT AS first_load, epoch(max(loaded_at))::BIGINT AS last_load, count(DISTINCT text) AS texts FROM count_analysis GROUP BY filepath HAVING count(*) > 1")
@@ -97,3 +101,10 @@ def copy_targets(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("place") + F.col("before")).cast("bigint")
     stem = F.regexp_replace("t.filename", r"\.txt$", "")
     return both.select("t.rec_id", F.when(n == 1, F.col("t.filename")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), F.lit(".txt"))).alias("target"))
+
+
+@query(f"SELECT sha256({NORM}) AS hash, rec_id, n FROM (SELECT *, count(*) OVER (PARTITION BY {NORM}) AS n FROM count_analysis WHERE text IS NOT NULL) WHERE n > 1")
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each row of a group of equal normalised texts, with the size of its group."""
+    keyed = table(spark, d, "count_analysis").where("text IS NOT NULL").select("rec_id", T.digest(T.mask_contacts(F.col("text"))).alias("hash"))
+    return keyed.join(keyed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "hash").select("hash", "rec_id", "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.functions import rules
@@ -160,18 +160,32 @@ def realism_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return _realism(spark, d).groupBy("annotator", "source").agg(n(1).alias("not_real"), n(2).alias("somewhat"), n(3).alias("realistic"), F.round(F.lit(100.0) * n(3) / F.count("*"), 6).alias("realistic_pct"))
 
 
-@query(_R + ", o AS (SELECT annotator, source, score, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT * FROM (SELECT DISTINCT annotator, source FROM o) JOIN (SELECT DISTINCT annotator, score FROM o) USING (annotator)), f AS (SELECT k.*, coalesce(n, 0) AS n FROM k LEFT JOIN o USING (annotator, source, score)), t AS (SELECT *, sum(n) OVER (PARTITION BY annotator, source) AS nr, sum(n) OVER (PARTITION BY annotator, score) AS nc, sum(n) OVER (PARTITION BY annotator) AS nn FROM f) SELECT annotator, round(sum((n - nr * nc / nn) * (n - nr * nc / nn) / (nr * nc / nn)), 6) AS chi2, ((count(DISTINCT source) - 1) * (count(DISTINCT score) - 1))::BIGINT AS dof, any_value(nn)::BIGINT AS n FROM t GROUP BY annotator")
+@query(_R + ", o AS (SELECT annotator, source, score, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT * FROM (SELECT DISTINCT annotator, source FROM o) JOIN (SELECT DISTINCT annotator, score FROM o) USING (annotator)), f AS (SELECT k.*, coalesce(n, 0) AS n FROM k LEFT JOIN o USING (annotator, source, score)), t AS (SELECT *, sum(n) OVER (PARTITION BY annotator, source) AS nr, sum(n) OVER (PARTITION BY annotator, score) AS nc, sum(n) OVER (PARTITION BY annotator) AS nn FROM f), x AS (SELECT annotator, round(sum((n - nr * nc / nn) * (n - nr * nc / nn) / (nr * nc / nn)), 6) AS chi2, ((count(DISTINCT source) - 1) * (count(DISTINCT score) - 1))::BIGINT AS dof, any_value(nn)::BIGINT AS n FROM t GROUP BY annotator) SELECT *, round(CASE WHEN dof = 2 THEN exp(-chi2 / 2) END, 9) AS p FROM x")
 def realism_chi_square(spark: SparkSession, d: str) -> DataFrame:
-    """Independence of realism and source, from the table of counts (two sources by three scores)."""
+    """Independence of realism and source, from the table of counts (two sources by three scores); p has a closed form at
+    two degrees of freedom and is null at others."""
     o = _realism(spark, d).groupBy("annotator", "source", "score").agg(F.count("*").alias("n"))
     row, col, all_ = (o.groupBy("annotator", *k).agg(F.sum("n").alias(name)) for k, name in ((["source"], "nr"), (["score"], "nc"), ([], "nn")))
     full = row.join(col, "annotator").join(all_, "annotator").join(o, ["annotator", "source", "score"], "left").na.fill(0, ["n"])
     e = F.col("nr") * F.col("nc") / F.col("nn")
     dof = (F.count_distinct("source") - 1) * (F.count_distinct("score") - 1)
-    return full.groupBy("annotator").agg(F.round(F.sum((F.col("n") - e) * (F.col("n") - e) / e), 6).alias("chi2"), dof.cast("bigint").alias("dof"), F.max("nn").alias("n"))
+    return full.groupBy("annotator").agg(F.round(F.sum((F.col("n") - e) * (F.col("n") - e) / e), 6).alias("chi2"), dof.cast("bigint").alias("dof"), F.max("nn").alias("n")).withColumn("p", F.round(F.when(F.col("dof") == 2, F.exp(-F.col("chi2") / 2)), 9))
 
 
-@query(_R + ", o AS (SELECT annotator, score, count_if(source = 'human_validation') AS x, count_if(source <> 'human_validation') AS y FROM r GROUP BY ALL), w AS (SELECT *, sum(y) OVER (PARTITION BY annotator ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM o) SELECT annotator, round(sum(x * (coalesce(below, 0) + 0.5 * y)), 6)::DOUBLE AS u, sum(x)::BIGINT AS n1, sum(y)::BIGINT AS n2, sum((x + y) * (x + y) * (x + y) - (x + y))::BIGINT AS ties FROM w GROUP BY annotator")
+#: The complementary error function by a rational approximation with an error below 1.5e-7. Fixed values.
+ERFC = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429, 0.3275911)
+
+
+def erfc(z: Column) -> Column:
+    *a, p = ERFC
+    t = 1 / (1 + z * p)
+    return t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4])))) * F.exp(-z * z)
+
+
+_ERFC = "t * ({0} + t * ({1} + t * ({2} + t * ({3} + t * {4})))) * exp(-z * z)".format(*ERFC)
+
+
+@query(_R + ", o AS (SELECT annotator, score, count_if(source = 'human_validation') AS x, count_if(source <> 'human_validation') AS y FROM r GROUP BY ALL), w AS (SELECT *, sum(y) OVER (PARTITION BY annotator ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM o), x AS (SELECT annotator, round(sum(x * (coalesce(below, 0) + 0.5 * y)), 6)::DOUBLE AS u, sum(x)::BIGINT AS n1, sum(y)::BIGINT AS n2, sum((x + y) * (x + y) * (x + y) - (x + y))::BIGINT AS ties FROM w GROUP BY annotator), sg AS (SELECT *, sqrt(n1::DOUBLE * n2 / 12 * (n1 + n2 + 1 - ties::DOUBLE / ((n1 + n2) * (n1 + n2 - 1)))) AS sigma FROM x), zz AS (SELECT *, greatest(abs(u - n1::DOUBLE * n2 / 2) - 0.5, 0) / sigma / sqrt(2) AS z FROM sg), tt AS (SELECT *, 1 / (1 + 0.3275911 * z) AS t FROM zz) SELECT annotator, u, n1, n2, ties, round(" + _ERFC + ", 6) AS p FROM tt")
 def realism_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     """U of the synthetic against the other items, from the histogram of the three scores."""
     from pyspark.sql import Window
@@ -181,7 +195,11 @@ def realism_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     below = F.coalesce(F.sum("y").over(Window.partitionBy("annotator").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = F.col("x") + F.col("y")
     w = o.withColumn("below", below)
-    return w.groupBy("annotator").agg(F.round(F.sum(F.col("x") * (F.col("below") + F.col("y") * 0.5)), 6).alias("u"), F.sum("x").alias("n1"), F.sum("y").alias("n2"), F.sum(t * t * t - t).alias("ties"))
+    u = w.groupBy("annotator").agg(F.round(F.sum(F.col("x") * (F.col("below") + F.col("y") * 0.5)), 6).alias("u"), F.sum("x").alias("n1"), F.sum("y").alias("n2"), F.sum(t * t * t - t).alias("ties"))
+    c, n = F.col, F.col("n1") + F.col("n2")
+    sigma = F.sqrt(c("n1").cast("double") * c("n2") / 12 * (n + 1 - c("ties") / (n * (n - 1))))
+    z = F.greatest(F.abs(c("u") - c("n1").cast("double") * c("n2") / 2) - 0.5, F.lit(0.0)) / sigma / F.sqrt(F.lit(2.0))
+    return u.withColumn("p", F.round(erfc(z), 6))
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, ties: int) -> float:
@@ -198,9 +216,16 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(t)).select("true_class", "n", F.round(F.col("total") / (F.col("k") * F.col("n")), 6).alias("weight"))
 
 
-@query("WITH j AS (SELECT d.true_class AS old, e.ground_truth AS new FROM documents d JOIN eval_items e ON d.doc_id % 240 = e.item_id % 240 WHERE d.true_class IS NOT NULL) SELECT old, new, count(*) AS n, (old = new) AS stayed FROM j GROUP BY ALL")
+@query(_A + " SELECT gold AS old, a1 AS new, count(*) AS n, (gold = a1) AS stayed FROM a GROUP BY ALL")
 def reclassification_moves(spark: SparkSession, d: str) -> DataFrame:
-    """Old against new class; the new one comes from a stand-in model, keyed by the document's number."""
-    docs = table(spark, d, "documents").where("true_class IS NOT NULL").select(F.col("true_class").alias("old"), (F.col("doc_id") % 240).alias("k"))
-    items = table(spark, d, "eval_items").select((F.col("item_id") % 240).alias("k"), F.col("ground_truth").alias("new"))
-    return docs.join(F.broadcast(items), "k").groupBy("old", "new").agg(F.count("*").alias("n")).withColumn("stayed", F.col("old") == F.col("new"))
+    """Old against new class: what is recorded, and what the first annotator, who read the text anew, decided."""
+    a = annotations(spark, d).groupBy(F.col("gold").alias("old"), F.col("a1").alias("new")).agg(F.count("*").alias("n"))
+    return a.withColumn("stayed", F.col("old") == F.col("new"))
+
+
+@query("SELECT s.blind_id, count(*) AS answers FROM annotator_sheets s ANTI JOIN compute_annotation_metrics m ON s.blind_id = m.blind_id GROUP BY s.blind_id UNION ALL SELECT m.blind_id, count(*) FROM compute_annotation_metrics m WHERE true_class IS NULL GROUP BY m.blind_id")
+def answers_without_truth(spark: SparkSession, d: str) -> DataFrame:
+    """Items that can't be scored: on the sheets but not among the recorded ones, or recorded without a class."""
+    sheets, truth = table(spark, d, "annotator_sheets"), table(spark, d, "compute_annotation_metrics")
+    lost = sheets.join(truth.select("blind_id").distinct(), "blind_id", "left_anti").groupBy("blind_id").agg(F.count("*").alias("answers"))
+    return lost.union(truth.where("true_class IS NULL").groupBy("blind_id").agg(F.count("*").alias("answers")))

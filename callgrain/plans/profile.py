@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callgrain.functions import text as T
 from callgrain.plans.registry import query
+from callgrain.session import cut
 from callgrain.sources.tables import spread, table
 
 TOK = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)?')"
@@ -30,9 +31,9 @@ def _stats_sql(c: str) -> str:
     return f"round(avg({c}), 6) AS mean_{c}, round(median({c}), 6) AS median_{c}, round(stddev_samp({c}), 6) AS sd_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}"
 
 
-@query(f"WITH l AS ({LENGTHS}) SELECT true_class, count(*) AS n_docs, {_stats_sql('n_tokens')}, {_stats_sql('n_chars')}, {_stats_sql('n_unique')} FROM l GROUP BY true_class")
+@query(f"WITH l AS ({LENGTHS}) SELECT true_class, count(*) AS n_docs, {_stats_sql('n_tokens')}, {_stats_sql('n_chars')}, {_stats_sql('n_unique')}, {_stats_sql('ttr').replace('min(ttr)', 'round(min(ttr), 6)').replace('max(ttr)', 'round(max(ttr), 6)')} FROM l GROUP BY true_class")
 def length_by_class(spark: SparkSession, d: str) -> DataFrame:
-    return lengths(spark, d).groupBy("true_class").agg(F.count("*").alias("n_docs"), *_stats("n_tokens"), *_stats("n_chars"), *_stats("n_unique"))
+    return lengths(spark, d).groupBy("true_class").agg(F.count("*").alias("n_docs"), *_stats("n_tokens"), *_stats("n_chars"), *_stats("n_unique"), *_stats("ttr")[:3], F.round(F.min("ttr"), 6).alias("min_ttr"), F.round(F.max("ttr"), 6).alias("max_ttr"))
 
 
 _Q = "SELECT quantile_cont(n_tokens, 0.25) AS q1, quantile_cont(n_tokens, 0.75) AS q3 FROM l"
@@ -41,7 +42,7 @@ _BIN = "CASE WHEN n_tokens <= q1 THEN 'SHORT' WHEN n_tokens <= q3 THEN 'MEDIUM'
 
 def binned(spark: SparkSession, d: str) -> DataFrame:
     """Lengths with a bin by the quartiles of the whole table (one row, joined to all)."""
-    l = lengths(spark, d)  # noqa: E741
+    l = cut(lengths(spark, d), "lengths")  # noqa: E741  read twice, and words are found once
     q = l.agg(F.percentile("n_tokens", F.lit(0.25)).alias("q1"), F.percentile("n_tokens", F.lit(0.75)).alias("q3"))
     bin_ = F.when(F.col("n_tokens") <= F.col("q1"), "SHORT").when(F.col("n_tokens") <= F.col("q3"), "MEDIUM").otherwise("LONG")
     return l.join(F.broadcast(q)).withColumn("bin", bin_)
@@ -54,10 +55,12 @@ def length_overall(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(F.count("*").alias("n_docs"), F.round(F.avg("ttr"), 6).alias("mean_ttr"), F.round(F.max("q1"), 6).alias("q1"), F.round(F.max("q3"), 6).alias("q3"), *_stats("n_tokens"), in_("SHORT"), in_("MEDIUM"), in_("LONG"))
 
 
-@query(f"WITH l AS ({LENGTHS}), q AS ({_Q}), b AS (SELECT true_class, {_BIN} AS bin FROM l, q) SELECT true_class, count_if(bin = 'SHORT')::BIGINT AS short, count_if(bin = 'MEDIUM')::BIGINT AS medium, count_if(bin = 'LONG')::BIGINT AS long, round(100.0 * count_if(bin = 'SHORT') / count(*), 6) AS short_pct FROM b GROUP BY true_class")
+@query(f"WITH l AS ({LENGTHS}), q AS ({_Q}), b AS (SELECT true_class, {_BIN} AS bin FROM l, q) SELECT true_class, count_if(bin = 'SHORT')::BIGINT AS short, count_if(bin = 'MEDIUM')::BIGINT AS medium, count_if(bin = 'LONG')::BIGINT AS long, round(100.0 * count_if(bin = 'SHORT') / count(*), 6) AS short_pct, round(100.0 * count_if(bin = 'MEDIUM') / count(*), 6) AS medium_pct, round(100.0 * count_if(bin = 'LONG') / count(*), 6) AS long_pct FROM b GROUP BY true_class")
 def length_bins_by_class(spark: SparkSession, d: str) -> DataFrame:
     p = binned(spark, d).groupBy("true_class").pivot("bin", ["SHORT", "MEDIUM", "LONG"]).count().na.fill(0)
-    return p.select("true_class", F.col("SHORT").alias("short"), F.col("MEDIUM").alias("medium"), F.col("LONG").alias("long"), F.round(F.lit(100.0) * F.col("SHORT") / (F.col("SHORT") + F.col("MEDIUM") + F.col("LONG")), 6).alias("short_pct"))
+    bins = ("SHORT", "MEDIUM", "LONG")
+    pct = lambda x: F.round(F.lit(100.0) * F.col(x) / sum((F.col(b) for b in bins[1:]), F.col(bins[0])), 6).alias(f"{x.lower()}_pct")
+    return p.select("true_class", *(F.col(b).alias(b.lower()) for b in bins), *map(pct, bins))
 
 
 @query("SELECT t.class_no, t.slug, count(c.rec_id) AS n_docs, round(count(c.rec_id)::DOUBLE / nullif((SELECT count(*) FROM count_analysis WHERE true_class IS NOT NULL), 0), 6) AS share FROM taxonomy t LEFT JOIN count_analysis c ON c.true_class = t.slug GROUP BY t.class_no, t.slug")
@@ -88,7 +91,7 @@ def class_split_totals(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.coalesce("true_class", F.lit("ALL")).alias("true_class"), F.coalesce("split", F.lit("ALL")).alias("split"), "n", "mean_chars")
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS n_chars, (len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')))::BIGINT AS n_words, CASE WHEN length(text) > 1500 THEN left(text, 690) || '\n[... ' || format('{:,}', length(text) - 1380) || ' characters left out ...]\n' || right(text, 690) ELSE text END AS state FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]+$')")
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, (len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')))::BIGINT AS n_words, CASE WHEN length(text) > 1500 THEN left(text, 690) || '\n[... ' || format('{:,}', length(text) - 1380) || ' characters left out ...]\n' || right(text, 690) ELSE text END AS state FROM documents WHERE text IS NOT NULL")
 def head_tail_states(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"\A[ -~\n]+\z"))
+    t = table(spark, d, "documents").where("text IS NOT NULL")
     return t.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), T.space_words(F.col("text")).alias("n_words"), T.head_and_tail(F.col("text"), 1500).alias("state"))

@@ -42,10 +42,10 @@ def near_clusters(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "|").alias("members"))
 
 
-@query("WITH g AS (SELECT doc_id AS id, lower(regexp_replace(left(text, 10000000), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]*$')), x AS (SELECT id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) AS gram FROM g WHERE length(t) >= 3) SELECT gram, count(*) AS n, count(DISTINCT id) AS df FROM x GROUP BY gram HAVING count(DISTINCT id) >= 2")
+@query("WITH g AS (SELECT doc_id AS id, lower(regexp_replace(left(text, 10000000), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL), x AS (SELECT id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) AS gram FROM g WHERE length(t) >= 3) SELECT gram, count(*) AS n, count(DISTINCT id) AS df FROM x GROUP BY gram HAVING count(DISTINCT id) >= 2")
 def char_gram_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    """Character trigrams of the plain-ASCII documents with their counts."""
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"\A[ -~\n]*\z"))
+    """Character trigrams of all documents with their counts."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
     g = t.select(F.col("doc_id").alias("id"), F.explode(S.char_grams(F.col("text"), 3, 3)).alias("gram"))
     per = g.groupBy("gram", "id").agg(F.count("*").alias("c"))
     return per.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("df")).where("df >= 2")

@@ -76,11 +76,11 @@ def label_confidence_filter(spark: SparkSession, d: str) -> DataFrame:
     return t.select("source_path", "det_precheck", ((F.upper(F.trim("det_precheck")) == "LIKELY_CONVERSATION") & (F.col("det_dialogue_score").try_cast("double") >= 0.65)).alias("kept"))
 
 
-@query("WITH f AS (SELECT source_file, count(*) AS loads FROM filter_transcripts GROUP BY 1) SELECT c.rec_id, coalesce(f.loads, 0) AS loads FROM count_analysis c LEFT JOIN f ON c.filename = f.source_file WHERE c.split = 'external'")
+@query("WITH f AS (SELECT source_file, count(*) AS loads FROM filter_transcripts GROUP BY 1) SELECT c.rec_id, coalesce(f.loads, 0) AS loads FROM count_analysis c LEFT JOIN f ON c.filename = f.source_file")
 def verdict_join(spark: SparkSession, d: str) -> DataFrame:
     """A join that must match one row at most: the right side is made unique first."""
     f = table(spark, d, "filter_transcripts").groupBy("source_file").agg(F.count("*").alias("loads"))
-    c = table(spark, d, "count_analysis").where("split = 'external'")
+    c = table(spark, d, "count_analysis")
     return c.join(f, c.filename == f.source_file, "left").select("rec_id", F.coalesce("loads", F.lit(0)).cast("bigint").alias("loads"))
 
 
@@ -119,3 +119,11 @@ def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
     n = lambda x: F.regexp_count(low, F.lit(rf"(?m)^{x}:")).cast("bigint")
     t = table(spark, d, "count_analysis").where("text IS NOT NULL").select("rec_id", F.translate("text", "\r\u0085  ", "    ").alias("text"))
     return t.select("rec_id", n("caller").alias("caller_turns"), n("receiver").alias("receiver_turns")).where("caller_turns + receiver_turns > 0")
+
+
+@query(_GATE + " SELECT kind, coalesce(value, '') AS value, count(*) AS n, count(DISTINCT source_file) AS files FROM (SELECT source_file, unnest(['precheck', 'label', 'status', 'reason']) AS kind, unnest([outcome, label, status, reason]) AS value FROM f) GROUP BY ALL")
+def filter_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How often each outcome of the precheck, label, status and reason of the gate occurs, and in how many files."""
+    g = gated(spark, d).select("source_file", F.col("outcome").alias("precheck"), "label", "status", "reason")
+    long = g.unpivot("source_file", ["precheck", "label", "status", "reason"], "kind", "value")
+    return long.groupBy("kind", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("files"))

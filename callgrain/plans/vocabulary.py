@@ -34,10 +34,10 @@ def vocabulary_top(spark: SparkSession, d: str) -> DataFrame:
 _UNSEEN = f"WITH t AS ({TOKENS_SQL}), v AS (SELECT DISTINCT token FROM t WHERE split = 'train')"
 
 
-@query(f"{_UNSEEN} SELECT t.split, t.token, count(*) AS n FROM t ANTI JOIN v USING (token) WHERE t.split <> 'train' GROUP BY t.split, t.token HAVING count(*) > 1")
+@query(f"{_UNSEEN} SELECT t.split, t.token, count(*) AS n FROM t ANTI JOIN v USING (token) WHERE t.split <> 'train' GROUP BY t.split, t.token")
 def unseen_words(spark: SparkSession, d: str) -> DataFrame:
     t = token_rows(spark, d)
-    counts = t.where("split <> 'train'").groupBy("split", "token").agg(F.count("*").alias("n")).where("n > 1")
+    counts = t.where("split <> 'train'").groupBy("split", "token").agg(F.count("*").alias("n"))
     return counts.join(train_vocabulary(t), "token", "left_anti").select("split", "token", "n")
 
 
@@ -138,13 +138,46 @@ def message_languages(spark: SparkSession, d: str) -> DataFrame:
     return message_rows(spark, d).select("rec_id", "n", "language", pct("en").alias("en_pct"), pct("hi").alias("hi_pct"))
 
 
-@query(_MSG + " SELECT coalesce(true_class, 'none') AS true_class, count(*) AS n_docs, round(avg(100.0 * en / n), 6) AS mean_en_pct, count_if(language = 'ENGLISH_DOMINANT')::BIGINT AS english, count_if(language = 'HINDI_DOMINANT')::BIGINT AS hindi, count_if(language = 'HINGLISH_MIXED')::BIGINT AS mixed FROM q GROUP BY 1")
+@query(_MSG + " SELECT coalesce(true_class, 'none') AS true_class, count(*) AS n_docs, round(avg(100.0 * en / n), 6) AS mean_en_pct, round(avg(100.0 * hi / n), 6) AS mean_hi_pct, round(avg(100.0 * amb / n), 6) AS mean_amb_pct, count_if(language = 'ENGLISH_DOMINANT')::BIGINT AS english, count_if(language = 'HINDI_DOMINANT')::BIGINT AS hindi, count_if(language = 'HINGLISH_MIXED')::BIGINT AS mixed FROM q GROUP BY 1")
 def language_by_class(spark: SparkSession, d: str) -> DataFrame:
     of = lambda x: F.count_if(F.col("language") == x)
-    return message_rows(spark, d).groupBy(F.coalesce("true_class", F.lit("none")).alias("true_class")).agg(F.count("*").alias("n_docs"), F.round(F.avg(F.lit(100.0) * F.col("en") / F.col("n")), 6).alias("mean_en_pct"), of("ENGLISH_DOMINANT").alias("english"), of("HINDI_DOMINANT").alias("hindi"), of("HINGLISH_MIXED").alias("mixed"))
+    return message_rows(spark, d).groupBy(F.coalesce("true_class", F.lit("none")).alias("true_class")).agg(F.count("*").alias("n_docs"), *(F.round(F.avg(F.lit(100.0) * F.col(x) / F.col("n")), 6).alias(f"mean_{x}_pct") for x in ("en", "hi", "amb")), of("ENGLISH_DOMINANT").alias("english"), of("HINDI_DOMINANT").alias("hindi"), of("HINGLISH_MIXED").alias("mixed"))
 
 
 @query("WITH t AS (SELECT rec_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\x{0900}-\\x{097F}]+|[a-z0-9]+')) AS token FROM count_analysis) SELECT count(*) AS n, count(DISTINCT token) AS types, count_if(regexp_matches(token, '[\\x{0900}-\\x{097F}]'))::BIGINT AS devanagari FROM t")
 def mixed_script_totals(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "count_analysis").select(F.explode(T.mixed_tokens(F.col("text"))).alias("token")).where(F.col("token").rlike(r"[\x{0900}-\x{097F}a-z0-9]"))
     return t.agg(F.count("*").alias("n"), F.count_distinct("token").alias("types"), F.count_if(F.col("token").rlike(r"[\x{0900}-\x{097F}]")).alias("devanagari"))
+
+
+@query(_MSG + ", t2 AS (SELECT language, count(*) AS n FROM q GROUP BY language) SELECT language, n, round(100.0 * n / (SELECT sum(n) FROM t2), 6) AS pct FROM t2")
+def message_language_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts are in each language, and their share."""
+    n = message_rows(spark, d).groupBy("language").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("language", "n", F.round(F.lit(100.0) * F.col("n") / F.col("all"), 6).alias("pct"))
+
+
+_SUMMARY = f"""{_DOC}, k AS (SELECT DISTINCT token FROM ({TOKENS_SQL}) WHERE split = 'train'), o AS (SELECT rec_id, count_if(k.token IS NULL) AS oov, count(DISTINCT t.token) FILTER (WHERE k.token IS NULL) AS oov_types FROM ({TOKENS_SQL}) t LEFT JOIN k USING (token) GROUP BY rec_id),
+ j AS (SELECT s.*, coalesce(oov, 0) AS oov, coalesce(oov_types, 0) AS oov_types FROM s LEFT JOIN o USING (rec_id) WHERE split IS NOT NULL)
+SELECT split, count(*) AS conversations, sum(n)::BIGINT AS total_tokens, round(avg(n), 6) AS mean_tokens, round(median(n), 6) AS median_tokens, round(avg(u), 6) AS mean_unique, round(avg(coalesce(u::DOUBLE / nullif(n, 0), 0)), 6) AS mean_ttr,
+ round(avg(coalesce(100.0 * oov / nullif(n, 0), 0)), 6) AS mean_oov_pct, round(avg(coalesce(100.0 * oov_types / nullif(u, 0), 0)), 6) AS mean_unique_oov_pct, round(avg(coalesce(100.0 * (u - oov_types) / nullif(u, 0), 0)), 6) AS mean_overlap_pct,
+ round(avg(coalesce(100.0 * (n - u) / nullif(n, 0), 0)), 6) AS mean_repeated_pct, round(avg(coalesce(100.0 * alpha / nullif(n, 0), 0)), 6) AS mean_alpha_pct, round(avg(coalesce(100.0 * digits / nullif(n, 0), 0)), 6) AS mean_digit_pct, round(avg(coalesce(letters::DOUBLE / nullif(n, 0), 0)), 6) AS mean_length FROM j GROUP BY split"""
+
+
+def unseen_per_text(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_id, oov, oov_types): of each text the words that no train text holds."""
+    t = token_rows(spark, d)
+    per = t.groupBy("rec_id", "token").agg(F.count("*").alias("c")).join(train_vocabulary(t), "token", "left_anti")
+    return per.groupBy("rec_id").agg(F.sum("c").alias("oov"), F.count("*").alias("oov_types"))
+
+
+@query(_SUMMARY)
+def vocabulary_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per split: totals, and means over the texts of how varied their words are and how many train doesn't know."""
+    j = token_profile(spark, d).where("split IS NOT NULL").join(unseen_per_text(spark, d), "rec_id", "left").na.fill(0, ["oov", "oov_types"])
+    mean = lambda a, b, name, k=100.0: F.round(F.avg(T.ratio(F.lit(k) * a, b)), 6).alias(name)
+    n, u = F.col("n"), F.col("u")
+    return j.groupBy("split").agg(
+        F.count("*").alias("conversations"), F.sum("n").alias("total_tokens"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.round(F.median("n"), 6).alias("median_tokens"), F.round(F.avg("u"), 6).alias("mean_unique"), mean(u, n, "mean_ttr", 1.0),
+        mean(F.col("oov"), n, "mean_oov_pct"), mean(F.col("oov_types"), u, "mean_unique_oov_pct"), mean(u - F.col("oov_types"), u, "mean_overlap_pct"), mean(n - u, n, "mean_repeated_pct"), mean(F.col("alpha"), n, "mean_alpha_pct"), mean(F.col("digits"), n, "mean_digit_pct"), mean(F.col("letters"), n, "mean_length", 1.0),
+    )

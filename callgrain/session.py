@@ -29,9 +29,14 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, a folder of this machine (tests)."""
+    """The folder named by spark.checkpoint.dir; only where it is unset in a local session (tests), one of this machine.
+
+    A session on a cluster without that setting is refused: its executors would each write to a disk of their own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="callgrain-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -40,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back, so that its lineage ends there.
 
-    Every executor can read the table again after a loss. The table is removed when the driver ends.
+    Every executor can read the table again after a loss. The table is removed by `forget_cuts`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/callgrain/{name}-{uuid.uuid4().hex}"
@@ -49,17 +54,26 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: list[tuple[SparkSession, str]] = []
+
+
+def forget_cuts() -> None:
+    """Remove all tables cut so far; frames that read them can't be used any more."""
+    while _held:
+        _drop(*_held.pop())
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    pid = os.getpid()
-
-    def drop() -> None:
-        if os.getpid() != pid:
-            return
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    atexit.register(drop)
+    if not _held:
+        pid = os.getpid()
+        atexit.register(lambda: forget_cuts() if os.getpid() == pid else None)
+    _held.append((spark, path))

@@ -52,11 +52,11 @@ SPOKEN = re.compile(rf"(?:{DIGIT_WORDS})(?:[\s,.-]+(?:{DIGIT_WORDS})\b){{6,}}")
 _DIGIT_WORD = re.compile(rf"(?:{DIGIT_WORDS})[,.-]*")
 #: Layouts of addresses that start the bootstrap.
 SEED_ADDRESS = re.compile(
-    rf"\b\d+[a-z]?,?\s+{_L}+\s+(?:street|road|lane),?\s+{_L}+(?:\s?[-–,]?\s?\d{{5,6}}\b)?"
-    rf"|\b\d+(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard)\s+(?:(?:de la|du|des|de)\s+)?{_L}+,?\s+(?:\d{{5}}\s+)?{_L}+"
-    rf"|\b(?:calle|avenida|plaza)\s+(?:(?:de la|del|de)\s+)?{_L}+,?\s+\d+,?\s+(?:\d+\s?[a-z]?,?\s+)?{_L}+(?:\s?[-–,]?\s?\d{{5}}\b)?"
+    rf"\d+[a-z]?,?\s+{_L}+\s+(?:street|road|lane),?\s+{_L}+(?:\s?[-–,]?\s?\d{{5,6}}\b)?"
+    rf"|\d+(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard)\s+(?:(?:de la|du|des|de)\s+)?{_L}+,?\s+(?:\d{{5}}\s+)?{_L}+"
+    rf"|(?:calle|avenida|plaza)\s+(?:(?:de la|del|de)\s+)?{_L}+,?\s+\d+,?\s+(?:\d+\s?[a-z]?,?\s+)?{_L}+(?:\s?[-–,]?\s?\d{{5}}\b)?"
 )
-_STREETS = ("street", "road", "lane", "rue ", "avenue", "boulevard", "calle", "avenida", "plaza")
+_STREETS = (" street", " road", " lane", " rue ", "avenue ", "boulevard ", "calle ", "avenida ", "plaza ")
 _SPACE = re.compile(r"\s+")
 _ANCHOR = re.compile(r"\d[A-Za-z]?,\s")
 _BLANK = re.compile(r"\s*")
@@ -91,13 +91,17 @@ def numbers(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _addresses(low: str) -> list[tuple[str, int, int]]:
+    return [("street_address", *m.span()) for m in SEED_ADDRESS.finditer(low) if not m.start() or not (low[m.start() - 1].isalnum() or low[m.start() - 1] == "_")]
+
+
 def seeds(text: str, low: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of the entities that start the bootstrap, names aside."""
     out: list[tuple[str, int, int]] = []
     if "@" in low:
         out += [("email", *m.span()) for m in MAIL.finditer(low)]
     if any(w in low for w in _STREETS):
-        out += [("street_address", *m.span()) for m in SEED_ADDRESS.finditer(low)]
+        out += _addresses(low)
     return out
 
 
@@ -151,7 +155,7 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 _TITLE = r"[A-ZÀ-Þ][a-zà-ÿ]+"
-NAMED = re.compile(rf"(?<![\w@.])({_TITLE})((?:\s+[A-Z]\.)?)((?:\s+{_TITLE})?)(?![\w@])")
+NAMED = re.compile(rf"({_TITLE})((?:\s+[A-Z]\.)?)((?:\s+{_TITLE})?)(?![\w@])")
 _ADDRESS_PART = re.compile(r"[A-ZÀ-Þ][^\W\d_]*\.?(?:[A-Z][a-z]+\.)?|(?:\w*[./-])*\d+\w*(?:[/-]\d+)*|[-–]|No\.")
 
 
@@ -208,6 +212,8 @@ def candidates(text: str) -> list[tuple[str, str, str, str, bool]]:
             a = b - len(first[1])
             out.append(("street_address", context(text, a, b), form_of(low[a:b]), low[a:b], False))
     for m in NAMED.finditer(text):
+        if m.start() and ((c := text[m.start() - 1]).isalnum() or c in "_@."):
+            continue
         words = m.group().lower().split()
         if words[-1] in FIRM or not FIRM.isdisjoint(text[m.end() : m.end() + 14].lower().split()[:1]):
             continue
@@ -360,7 +366,7 @@ class Model:
         if self.layouts and any(w in low for w in self.needed):
             out += [("street_address", *m.span()) for m in self.layouts.finditer(low)]
         if any(w in low for w in _STREETS):
-            out += [("street_address", *m.span()) for m in SEED_ADDRESS.finditer(low)]
+            out += _addresses(low)
         for at, left in lefts:
             begin = _BETWEEN.match(low, at).end()
             if begin > at:
@@ -428,7 +434,7 @@ def layout_pattern(form: str) -> str:
 
 def _edge_batches(batches):
     for batch in batches:
-        texts = [spoken(t).text if s else t for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        texts = [spoken_text(t) if s else t for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         counts = Counter(e for t in texts for e in candidates(t))
         rows = list(counts)
         yield pa.RecordBatch.from_arrays(
@@ -542,9 +548,10 @@ class Spoken:
         return out
 
 
-def spoken(text: str) -> Spoken:
-    """Without times, labels, sound notes and hesitations; a voice's words that run over several lines stand together."""
-    cues: list[tuple[float, int, list[tuple[str, int]]]] = []
+def _spoken_lines(text: str) -> list[tuple[float, int, str, int]]:
+    """(when, line, its words, where they begin in the text) in order of time, without times, labels, sound notes and
+    hesitations, which give way to blanks; a voice's words that run over several lines stand together."""
+    cues: list[tuple[float, int, str, int]] = []
     when, last = -1.0, None
     lines = text.splitlines(keepends=True)
     at = 0
@@ -559,11 +566,24 @@ def spoken(text: str) -> Spoken:
         stamp = line if "-->" in line[:40] else m.group("at") or m.group("at2")
         if stamp and (t := seconds(stamp)) is not None:
             when = t
-        # noise gives way to blanks of its own length, so that places stay
-        rest = _NOISE.sub(lambda x: " " * (x.end() - x.start()), line[m.end() :]) if _NOISY.search(line) else line[m.end() :]
-        cues.append((when, i, [(x.group(), begin + m.end() + x.start()) for x in TOKEN.finditer(rest)]))
+        rest = line[m.end() :]
+        if _NOISY.search(rest):
+            rest = _NOISE.sub(_blanks, rest)
+        cues.append((when, i, rest, begin + m.end()))
     cues.sort(key=lambda c: c[:2])
-    return Spoken([w for c in cues for w in c[2]])
+    return cues
+
+
+def _blanks(m: re.Match) -> str:
+    return " " * (m.end() - m.start())
+
+
+def spoken_text(text: str) -> str:
+    return " ".join(" ".join(c[2] for c in _spoken_lines(text)).split())
+
+
+def spoken(text: str) -> Spoken:
+    return Spoken([(m.group(), at + m.start()) for _, _, rest, at in _spoken_lines(text) for m in TOKEN.finditer(rest)])
 
 
 # ---------------------------------------------------------------- operators
@@ -596,7 +616,7 @@ def entities(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
             out: list[tuple[str, str, str, str]] = []
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for table, key, text, transcript in zip(*cols):
-                t = spoken(text).text if transcript else text
+                t = spoken_text(text) if transcript else text
                 seen = {(kind, plain(t[a:b])) for kind, a, b in model.value.find(t)}
                 out += [(table, key, kind, value) for kind, value in sorted(seen)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], ["src_table", "row_key", "pii_type", "pii_value"])

@@ -122,3 +122,42 @@ def dialogue_or_null(t: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(body, r"(?i)\bscammer\s*:", "Scammer:"), r"(?i)\breceiver\s*:", "Receiver:")
     enough = (F.regexp_count(body, F.lit(r"(?m)^Scammer:")) >= 3) & (F.regexp_count(body, F.lit(r"(?m)^Receiver:")) >= 2)
     return F.when((body != "") & enough, body)
+
+
+def parsed_reply(t: Column, labels: list[str]) -> Column:
+    """A struct (label, valid, reason) of a model's reply: by its JSON field, by a quoted field in prose, or as a whole.
+
+    A label counts in any case and is given as it stands in `labels`; one that isn't allowed is given with the reason.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(t), r"(?is)^```(?:json)?\s*|\s*```$", ""))
+    block = F.regexp_extract(t, r"(?s)(\{.*?\})", 1)
+    from_json = F.coalesce(F.try_parse_json(bare).cast("string"), F.try_parse_json(F.when(block != "", block)).cast("string"))
+    field = F.get_json_object(from_json, "$.label")
+    quoted = F.regexp_extract(t, r"(?i)[\"']?label[\"']?\s*:\s*[\"']([^\"']+)[\"']", 1)
+    told = F.coalesce(F.trim(field), F.when(quoted != "", F.trim(quoted)))
+    names = F.array(*map(F.lit, labels))
+    allowed = lambda x: F.get(F.filter(names, lambda n: F.lower(n) == F.lower(x)), F.lit(0))
+    answer = lambda label, valid, reason: F.struct(label.cast("string").alias("label"), F.lit(valid).alias("valid"), reason.alias("reason"))
+    return (
+        F.when(t.isNull() | (F.trim(t) == ""), answer(F.lit(None), False, F.lit("empty reply")))
+        .when(allowed(told).isNotNull(), answer(allowed(told), True, F.lit("")))
+        .when(told.isNotNull(), answer(told, False, F.lit("label not allowed")))
+        .when(allowed(F.trim(t)).isNotNull(), answer(allowed(F.trim(t)), True, F.lit("")))
+        .otherwise(answer(F.lit(None), False, F.lit("no label found")))
+    )
+
+
+def nearest_class(t: Column, classes: list[str]) -> Column:
+    """The class that a reply means: the same word; else the first that ends as the reply does or with which the reply
+    ends; else the one named most often, of equal ones the first. A null reply means none."""
+    said = F.rtrim(F.lower(F.trim(t)), F.lit(".,;:!"))
+    low = F.lower(t)
+    count = lambda x: (F.length(low) - F.length(F.replace(low, F.lit(x)))) / len(x)
+    names = [c.lower() for c in classes]
+    out = F.when(t.isNull(), F.lit(None).cast("string"))
+    for c, n in zip(classes, names):
+        out = out.when(said == n, c)
+    for c, n in zip(classes, names):
+        out = out.when(F.lit(n).endswith(said) | said.endswith(n), c)
+    best = F.array_max(F.array(*(F.struct((count(n.replace("_", " ")) + count(n)).alias("k"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, n) in enumerate(zip(classes, names)))))
+    return out.otherwise(best["c"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callgrain.functions import text as T
 from callgrain.operators.similarity import word_grams
+from callgrain.session import cut
 
 
 def features(docs: DataFrame, text: str, size: int = 1 << 14) -> DataFrame:
@@ -21,7 +22,8 @@ def fit_and_predict(docs: DataFrame, text: str, label: str, split: str, kind: st
 
     Rows without text, label or split are left out. The inverse document frequencies come from train alone.
     """
-    rows = features(docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(split).isNotNull()), text)
+    # counted once: the index, the frequencies, every pass of the fitting and the scoring read them again
+    rows = cut(features(docs.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(split).isNotNull()), text), "features")
     train = rows.where(F.col(split) == "train")
     index = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip").fit(train)
     idf = IDF(inputCol="tf", outputCol="x", minDocFreq=2).fit(train)

@@ -43,6 +43,11 @@ def baseline_linear_svm(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, "svm", False)
 
 
+@query()
+def baseline_linear_svm_balanced(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, "svm", True)
+
+
 def keyword_client(texts: list[str]) -> list[str]:
     """A stand-in for an outside model."""
     return ["payment" if "rupee" in t.lower() else "other" for t in texts]

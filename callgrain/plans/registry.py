@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("profile", "duplicates", "vocabulary", "transcripts", "metrics", "sampling", "similarity", "models", "events")
+MODULES = ("profile", "duplicates", "vocabulary", "transcripts", "metrics", "sampling", "similarity", "models", "events", "leaks", "replies")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

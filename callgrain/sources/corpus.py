@@ -51,3 +51,50 @@ def resolve_column(df: DataFrame, candidates: list[str], required: bool = True)
     if found is None and required:
         raise ValueError(f"none of {candidates} among {df.columns}")
     return found
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, read by a schema; a row that doesn't fit it fails the query."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
+
+
+def labelled_corpus(rows: DataFrame, classes: DataFrame, keep_blank: bool = True, most_chars: int | None = None) -> DataFrame:
+    """Rows of `class_folders` with the number of their class (classes: slug, class_no) and the length of their text;
+    blank ones left out, and texts trimmed to a first part, on demand."""
+    own = rows.join(F.broadcast(classes.select(F.col("slug").alias("true_class"), "class_no")), "true_class")
+    if not keep_blank:
+        own = own.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    if most_chars is not None:
+        own = own.withColumn("text", F.substring(F.trim("text"), 1, most_chars))
+    return own.withColumn("char_len", F.length("text"))
+
+
+def checked_corpus(rows: DataFrame, classes: DataFrame, required: bool = False) -> DataFrame:
+    """The rows themselves, once it is known that there are some and, if required, some of every class."""
+    lacking = [r.slug for r in missing_classes(rows, classes).orderBy("slug").collect()]  # classes are few
+    if len(lacking) == classes.select("slug").distinct().count():
+        raise ValueError("no file of any class")
+    if lacking:
+        if required:
+            raise ValueError(f"no file of {', '.join(lacking)}")
+        import warnings
+
+        warnings.warn(f"no file of {', '.join(lacking)}", stacklevel=2)
+    return rows
+
+
+def input_manifest(spark: SparkSession, root: str, expected: list[str]) -> DataFrame:
+    """(name, found) of the inputs that a report expects below a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(n, bool(fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}")))) for n in expected]
+    return spark.createDataFrame(found, "name string, found boolean")
+
+
+def log_or_array(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """As `record_log`, also for a file that holds one JSON array."""
+    lines = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if lines and lines[0].value.lstrip().startswith("["):
+        rows = spark.read.schema(schema).option("multiLine", True).json(path).where(F.col(key).isNotNull())
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    return record_log(spark, path, schema, key, order)

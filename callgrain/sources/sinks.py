@@ -29,3 +29,21 @@ def write_folders(df: DataFrame, path: str) -> None:
 def rewrite(df: DataFrame, text: str, old: str, new: str, path: str) -> None:
     """Rows with a literal replaced, in a new place; the input stays."""
     df.withColumn(text, F.replace(text, F.lit(old), F.lit(new))).write.mode("overwrite").parquet(path)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """The table at a path replaced as a whole: written beside it, then renamed, so that readers see the old or the new."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").parquet(new)
+    jvm = spark.sparkContext._jvm
+    at, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    if not fs.rename(fresh, at):
+        raise OSError(f"{new} can't be renamed")
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Predictions (gold, pred and what names a row) as a table by split."""
+    df.write.mode("overwrite").partitionBy("split").parquet(path)

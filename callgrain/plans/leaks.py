@@ -1,5 +1,8 @@
 """Near-duplicate texts of the labelled corpus by TF-IDF over character 3-5-grams: train against test, pairs, clusters.
 
+All grams of two texts and more count. A cap on the number of terms, which max_terms sets, keeps the frequent ones and so
+takes away the rare ones that tell texts apart and keep the join's lists short.
+
 Texts that are alike after normalisation are one node, named by its smallest rec_id; copies aren't expanded into pairs.
 SQL would pair every text with every other, so brute force over a fixture holds these in the tests.
 """
@@ -29,7 +32,7 @@ def nodes(docs: DataFrame, text) -> tuple[DataFrame, DataFrame]:
     return rows, texts
 
 
-def train_test_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int | None = 200_000) -> DataFrame:
+def train_test_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int | None = None) -> DataFrame:
     """(train_id, test_id, cosine, n_train, n_test): pairs of a text of train and one of test at the threshold or above;
     the ids are the first rows that have it, beside how many do. A text in both is a pair of its own."""
     rows, texts = nodes(docs.where("split IN ('train', 'test')"), T.fold_space(F.lower("text")))
@@ -42,7 +45,7 @@ def train_test_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int |
     return found.union(same).join(train, "a").join(test, "b").select("train_id", "test_id", F.bround("cosine", 4).alias("cosine"), "n_train", "n_test")
 
 
-def near_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows as of `nodes`, pairs (a, b, cosine)) over template texts."""
     rows, texts = nodes(docs, T.template_text(F.col("text")))
     v = cut(C.vectors(C.char_gram_rows(texts), threshold, max_terms=max_terms), "tfidf")

@@ -42,50 +42,57 @@ _BANDS = np.array(_BANDS, np.int64)
 TOTAL = 0
 
 
-def _count_batches(batches):
-    keys, counts, n = [], [], 0
-
-    def fold():
-        k = np.concatenate(keys)
-        c = np.concatenate(counts)
+class Counts:
+    """How many bags of a task hold each element; copies within a batch count once. Partial counts that grow too large
+    are given out on the way."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.held, self.n = 0, 0
+
+    def add(self, b: tc.Bags, n_docs: int, seen: set[int]) -> None:
+        fresh = np.zeros(n_docs, bool)
+        for i in np.flatnonzero(b.size):
+            if (k := int(b.key_a[i])) not in seen:
+                seen.add(k)
+                fresh[i] = True
+        self.n += int(fresh.sum())
+        e = np.sort(b.element[fresh[b.doc]])
+        at = tc.firsts(e)
+        self.keys.append(e[at].view(np.int64))
+        self.counts.append(np.diff(np.append(at, len(e))))
+        self.held += len(at)
+        if self.held > 3_000_000:
+            self._fold()
+
+    def _fold(self) -> None:
+        k, c = np.concatenate(self.keys), np.concatenate(self.counts)
         order = np.argsort(k, kind="stable")
         k, c = k[order], c[order]
         at = tc.firsts(k)
-        return k[at], np.add.reduceat(c, at)
+        self.keys, self.counts = [k[at]], [np.add.reduceat(c, at)]
+        self.held = len(at)
 
-    for batch in batches:
-        seen: set[int] = set()
-        for _, part in tc.chunks(batch.column(0).to_pylist()):
-            b = tc.bags_of(part)
-            fresh = np.zeros(len(part), bool)
-            for i in np.flatnonzero(b.size):
-                if (k := int(b.key_a[i])) not in seen:
-                    seen.add(k)
-                    fresh[i] = True
-            n += int(fresh.sum())
-            e = np.sort(b.element[fresh[b.doc]])
-            at = tc.firsts(e)
-            keys.append(e[at].view(np.int64))
-            counts.append(np.diff(np.append(at, len(e))))
-            if sum(map(len, keys)) > 3_000_000:
-                k, c = fold()
-                keys, counts = [k], [c]
-                if len(k) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["element", "n"])
-                    keys, counts = [], []
-    if keys:
-        k, c = fold()
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, TOTAL)), pa.array(np.append(c, n))], ["element", "n"])
-
-
-def common_elements(texts: DataFrame, share: float, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def full(self) -> bool:
+        return self.held > 2_000_000
+
+    def take(self, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(element, n) so far, and at the end the number of bags as well."""
+        if self.keys:
+            self._fold()
+        k, c = (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.keys, self.counts, self.held = [], [], 0
+        return (np.append(k, TOTAL), np.append(c, self.n)) if last else (k, c)
+
+
+def common_elements(counted: DataFrame, share: float, least: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Elements in more than max(share x bags, least) bags, sorted, with their counts; and the number of bags.
 
-    All texts are counted; copies within a batch count once. At most (words a text) / share elements can come out,
-    so the size of what is sent to all executors doesn't grow with the corpus.
+    counted: partial counts (element, n) of all texts. At most (words a text) / share elements can come out, so the size
+    of what is sent to all executors doesn't grow with the corpus.
     """
-    counted = texts.mapInArrow(_count_batches, "element bigint, n bigint").groupBy("element").agg(F.sum("n").alias("n"))
-    counted = counted.where(F.col("n") > least).cache()
+    counted = counted.groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") > least).cache()
     total = counted.where(F.col("element") == TOTAL).agg(F.max("n")).first()[0] or 0
     got = counted.where((F.col("element") != TOTAL) & (F.col("n") > share * total)).toArrow()
     counted.unpersist()
@@ -174,8 +181,10 @@ def meetings(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFr
     a = left.select("value", F.col("bag_id").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a_{c}") for c in CODES))
     b = right.select("value", F.col("bag_id").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b_{c}") for c in CODES))
     sized = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
-    far = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in CODES))
-    fits = (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")) & sized & (9 * far <= F.col("na") + F.col("nb"))
+    apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in CODES]
+    # most pairs are told apart by the first bits already
+    near = reduce(Column.__and__, (9 * reduce(Column.__add__, apart[:k]) <= F.col("na") + F.col("nb") for k in (1, 2, len(apart))))
+    fits = (F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")) & sized & near
     return a.join(b, "value").where(fits).select("a", "b").distinct()
 
 

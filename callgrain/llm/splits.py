@@ -6,8 +6,6 @@ overlaps by 0.8 escapes; parity fingerprints filter what meets, and whole bags d
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,36 +16,44 @@ from callgrain.llm import textcodes as tc
 from callgrain.session import cut
 
 THRESHOLD = 0.8
-FAR, MISS = 0.14, 0.03
 TRAIN = "train"
 
-SCHEMA = "row_id bigint, seq binary, root binary, bag binary"
+#: Digests of rows, and partial counts of elements in rows of their own.
+SCHEMA = "row_id bigint, seq binary, root binary, bag binary, element bigint, n bigint"
 
 
-def block_plan(n_bags: int) -> tuple[int, int]:
-    """(bits of a block, number of permutations) for so many bags."""
-    width = min(24, max(8, math.ceil(math.log2(n_bags + 2)) - 7))
-    return width, math.ceil(math.log(1 / MISS) / (1 - FAR) ** width)
+def digester(batches):
+    """SCHEMA of batches of (row_id, text), in one pass over the words."""
+    counts = bags.Counts()
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
+    def counted(element: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(element), pa.array(n)], names)
 
-def digester(batches):
-    """SCHEMA of batches of (row_id, text)."""
     for batch in batches:
+        seen: set[int] = set()
         for first, part in tc.chunks(batch.column(1).to_pylist()):
             words = tc.words_of(part)
             seq, root = layout.digests(part, words)
             b = tc.bags_of(part, words)
+            counts.add(b, len(part), seen)
             digest = np.stack([b.key_a, b.key_b], 1).tobytes()
             bag = [digest[16 * i : 16 * i + 16] if n else None for i, n in enumerate(b.size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(seq, pa.binary()), pa.array(root, pa.binary()), pa.array(bag, pa.binary())], ["row_id", "seq", "root", "bag"])
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(seq, pa.binary()), pa.array(root, pa.binary()), pa.array(bag, pa.binary()), none, none], names)
+        if counts.full():
+            yield counted(*counts.take())
+    yield counted(*counts.take(last=True))
 
 
 def cross_split_links(df: DataFrame, id_col: str, text_col: str, split_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train rows, other rows, links between their groups): rows have (row_id, grp); links are (train_grp, other_grp)."""
     keep = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"), F.lower(F.trim(split_col)).alias("split"))
     keep = keep.where("row_id IS NOT NULL AND text IS NOT NULL AND split <> ''")
-    common, counts, total = bags.common_elements(keep.select("text"), bags.COMMON, bags.COMMON_LEAST)
-    seen = cut(keep.select("row_id", "text").mapInArrow(digester, SCHEMA), "codes").where("bag IS NOT NULL")
+    coded = cut(keep.select("row_id", "text").mapInArrow(digester, SCHEMA), "codes")
+    common, counts, total = bags.common_elements(coded.where("element IS NOT NULL").select("element", "n"), bags.COMMON, bags.COMMON_LEAST)
+    seen = coded.where("bag IS NOT NULL").drop("element", "n")
     rows = layout.classes(seen.select("row_id", "seq", "root", "bag")).join(keep.select("row_id", (F.col("split") == TRAIN).alias("is_train")), "row_id")
     sides = rows.groupBy("bag").agg(F.min("row_id").alias("bag_id"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_other"))
     sides = cut(sides, "sides")

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from callgrain.llm import layout, splits
+from callgrain.llm import layout
 from callgrain.llm import textcodes as tc
 from callgrain.llm.layout import content_groups, parse_record
 from callgrain.llm.neardup import near_groups, near_pairs
@@ -175,12 +175,6 @@ def test_words_and_bags(texts):
         assert (digests[i] == digests[j]) == (x == y)
 
 
-def test_block_plan_grows_slowly():
-    assert splits.block_plan(10)[0] == 8
-    assert splits.block_plan(10**9)[0] == 23
-    assert splits.block_plan(10**9)[1] < 130
-
-
 def template_texts(n_template, n_own):
     """Texts of one frequent template that share no rare word."""
     template = [f"t{i}" for i in range(n_template)]

@@ -624,6 +624,35 @@ def entities(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
     return _union(parts).mapInArrow(run, "src_table string, row_key string, pii_type string, pii_value string").distinct()
 
 
+def is_seed(kind: str, value: str) -> bool:
+    """Whether an entity has a form that started the bootstrap; all others were discovered."""
+    low = value.lower()
+    if kind == "person_name":
+        return low.split()[0].strip(".,") in SEED_NAMES
+    if kind == "phone":
+        return low[0] == "+"
+    if kind == "id_number":
+        return value.translate(_FORM) in SEED_IDS
+    return (MAIL if kind == "email" else SEED_ADDRESS).fullmatch(low) is not None
+
+
+def routes(parts: list[tuple[str, DataFrame, str, str, bool]]) -> DataFrame:
+    """(src_table, pii_type, route, n): how many entities have a seed's form, and how many were discovered."""
+    model = _learnt(parts)
+
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for table, text, transcript in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                t = spoken_text(text) if transcript else text
+                counts.update((table, kind, "seed" if is_seed(kind, t[a:b]) else "discovered") for kind, a, b in model.value.find(t))
+            rows = list(counts)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.string()) for i in range(3)), pa.array([counts[r] for r in rows], pa.int64())], ["src_table", "pii_type", "route", "n"])
+
+    found = _union(parts).mapInArrow(run, "src_table string, pii_type string, route string, n bigint")
+    return found.groupBy("src_table", "pii_type", "route").agg(F.sum("n").alias("n"))
+
+
 def redact(text: str, model: Model, transcript: bool = False) -> str:
     """The text with each entity replaced by its type in brackets; everything else stays as it stands. In a transcript
     an entity that runs over several lines or past a sound gives its place to one placeholder where it begins."""

@@ -56,6 +56,12 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(_pii_parts(spark, d))
 
 
+def p4_routes(spark: SparkSession, d: str) -> DataFrame:
+    from callgrain.llm.identity import routes
+
+    return routes(_pii_parts(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from callgrain.llm.neardup import near_pairs
 

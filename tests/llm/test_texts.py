@@ -156,6 +156,11 @@ def test_unseen_names_are_discovered(taught):
     assert {identity.plain(text[a:b]) for k, a, b in taught.find(text) if k == "person_name"} == {"zubinbpatwani", "oona"}
 
 
+@pytest.mark.parametrize(("kind", "value", "want"), [("email", "a@b.co", True), ("email", "a at b dot co", False), ("phone", "+91 12345 12345", True), ("phone", "12345 123456", False), ("id_number", "123-12-1234", True), ("id_number", "X1234567", False), ("street_address", "12 Kemo Street, Sonagarh", True), ("street_address", "Plot 3, Sector 4, W Nagar, T", False), ("person_name", "Ankit X", True), ("person_name", "Oona", False)])
+def test_what_is_a_seed(kind, value, want):
+    assert identity.is_seed(kind, value) is want
+
+
 def test_redaction_keeps_the_rest(taught):
     assert identity.redact("mail a@b.co to Ankit now", taught) == "mail [EMAIL] to [PERSON_NAME] now"
     text = "[00:02] Victim: no\n[00:05] Caller: um, this is  Ankit\n[00:07] Caller: [laughs] Lokdhare, ok (pause)\n"

@@ -29,6 +29,8 @@ SURE, SUPPORT, SHARE, SURE_FORM = 0.5, 5, 0.001, 0.8
 FIRST_SURE = 0.12
 #: Share of address candidates from which on a word belongs to their layout, and a layout is kept.
 KEYWORD_SHARE, LAYOUT_SHARE = 0.04, 0.003
+#: Least share of all places of names that a given name and a surname hold, so that a million of each can come out at most.
+NAME_SHARE = 1e-6
 #: Characters that a context may reach to either side, and most words of an entity between the words of its context.
 BEFORE, AFTER, MOST_WORDS = 60, 40, 14
 
@@ -457,8 +459,7 @@ def _layout_batches(keywords: frozenset[str]):
 def learn(texts: DataFrame) -> Model:
     """Score the graph of contexts and forms of all texts (text, transcript) in rounds and keep what is sure.
 
-    What is collected is bounded: contexts, forms and layouts hold a least share of their kind; given names and surnames
-    are as many as there are.
+    What is collected is bounded: contexts, forms and layouts, given names and surnames hold a least share of their kind.
     """
     raw = texts.mapInArrow(_edge_batches, "kind string, pattern string, form string, instance string, seed boolean, n bigint")
     whole = cut(raw.groupBy("kind", "pattern", "form", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "edges")
@@ -486,9 +487,10 @@ def learn(texts: DataFrame) -> Model:
     for r in sure.join(F.broadcast(held), "kind").where(F.col("n") >= SHARE * F.col("all")).collect():
         forms[r.form] = max(forms.get(r.form, (0.0, "")), (r.score, r.kind))
     layouts = _layouts(whole.where("kind = 'street_address'").join(sure.select("kind", "form"), ["kind", "form"]))
-    names = sure.where("kind = 'person_name'").select("form")
+    places = narrow.where("kind = 'person_name'").agg(F.sum("n")).first()[0] or 0
+    names = sure.where("kind = 'person_name'").where(F.col("n") >= NAME_SHARE * places).select("form")
     given = {r.form for r in names.collect() if r.form.isalpha()} | set(SEED_NAMES)
-    people = whole.where("kind = 'person_name' AND instance <> ''").join(names, "form").groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
+    people = whole.where("kind = 'person_name' AND instance <> ''").join(names, "form").groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, NAME_SHARE * places))
     surnames = {r.instance for r in people.collect()} - FIRM
     surnames -= {w for rights in contexts.get("person_name", {}).values() for w in rights}
     return Model(contexts, {f: k for f, (_, k) in forms.items()}, layouts, given, surnames)

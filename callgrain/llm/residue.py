@@ -26,6 +26,8 @@ from callgrain.session import cut
 MANY_DOCS, MANY_SOURCES = 3, 2
 #: Most words beside messages and menus in a document that consists of a message.
 REST_WORDS = 12
+#: Most characters of a menu or a bare address.
+MENU_CHARS = 400
 #: Share of documents, and least number, from which on a word is common; fewest words of mock text; least share of them
 #: in its vocabulary; fewest and most different words that may follow a word of it.
 COMMON, COMMON_LEAST = 0.02, 20
@@ -288,7 +290,7 @@ def classify(kind: int, text: str) -> tuple[str | None, bool]:
         return "filler", True
     script, page, trouble, demand = (len(set(p.findall(text))) for p in (_SCRIPT, _PAGE, _TROUBLE, _DEMAND))
     status = STATUS.search(text) is not None
-    if BESIDE.fullmatch(text.strip()) and not (trouble or status):
+    if len(text) <= MENU_CHARS and BESIDE.fullmatch(text.strip()) and not (trouble or status):
         return "beside", True
     if script and demand:
         return "scripts", True

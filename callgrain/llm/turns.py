@@ -98,9 +98,12 @@ def model_of(emitted: dict | None = None, followed: dict | None = None) -> Model
     return e, n
 
 
-@lru_cache(maxsize=200_000)
-def viterbi(symbols: tuple[int, ...], model: Model) -> tuple[int, ...]:
-    """The most probable states of a line's tokens."""
+def decoded(symbols: tuple[int, ...], model: Model) -> tuple[int, ...]:
+    """The most probable states of a line's tokens; those of short lines, which recur, are kept."""
+    return viterbi(symbols, model) if len(symbols) <= 64 else _viterbi(symbols, model)
+
+
+def _viterbi(symbols: tuple[int, ...], model: Model) -> tuple[int, ...]:
     emit, follow = model
     best = [follow[5][s] + emit[s][symbols[0]] for s in range(5)]
     back = []
@@ -118,6 +121,9 @@ def viterbi(symbols: tuple[int, ...], model: Model) -> tuple[int, ...]:
     return tuple(reversed(path))
 
 
+viterbi = lru_cache(maxsize=100_000)(_viterbi)
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -247,7 +253,7 @@ def cues_of(text: str | None, model: Model) -> list[list]:
         if line.isdigit() and i + 1 < len(lines) and "-->" in lines[i + 1]:
             continue
         found = tokens(line)
-        states = viterbi(tuple(k for k, _, _ in found), model)
+        states = decoded(tuple(k for k, _, _ in found), model)
         stamp = next((line[a:b] for s, (k, a, b) in zip(states, found) if s == T and k in (_CLOCK, _SECS, _NUM)), None)
         if stamp is not None and (at := seconds(stamp)) is not None:
             when = at
@@ -340,7 +346,7 @@ def tally(patterns, model: Model) -> Counter:
     out: Counter = Counter()
     for pattern, n in patterns:
         symbols = tuple(pattern)
-        path = viterbi(symbols, model)
+        path = decoded(symbols, model)
         for k, s in zip(symbols, path):
             out["e", s, k] += n
         for p, s in zip((5, *path), path):

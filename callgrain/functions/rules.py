@@ -85,6 +85,7 @@ DIALOGUE_PATTERNS = [
     r"\bhe replied\b",
     r"\bshe replied\b",
 ]
+#: Labels of speakers, and quotations, that tell a dialogue. Fixed values.
 SPEAKER_LABEL = r"\b(?:scammer|caller|victim|fraudster|speaker\s*[12]|person\s*[12])\s*:"
 QUOTED = r'"[^"]{10,}"'
 #: Terms one of which an accepted text must hold. Fixed values.

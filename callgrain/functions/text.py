@@ -34,7 +34,7 @@ def fold_space(t: Column) -> Column:
 
 
 def mask_contacts(t: Column) -> Column:
-    """Lower case, with addresses of pages and long numbers masked; marks stay."""
+    """Lower case, with addresses of pages and long numbers masked; marks stay. The patterns are fixed values."""
     t = F.lower(t)
     t = F.regexp_replace(t, r"https?://\S+|www\.\S+", "<URL>")
     t = F.regexp_replace(t, r"\+?\d[\d\s\-()]{7,}\d", "<PHONE>")
@@ -42,7 +42,7 @@ def mask_contacts(t: Column) -> Column:
 
 
 def template_text(t: Column) -> Column:
-    """Lower case words alone, with pages, mail, phones and numbers replaced by their kind."""
+    """Lower case words alone, with pages, mail, phones and numbers replaced by their kind. The patterns are fixed values."""
     t = F.lower(t)
     t = F.regexp_replace(t, r"https?://\S+|www\.\S+", " URL ")
     t = F.regexp_replace(t, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", " EMAIL ")

@@ -1,7 +1,6 @@
 """Near-duplicate texts of the labelled corpus by TF-IDF over character 3-5-grams: train against test, pairs, clusters.
 
-All grams of two texts and more count. A cap on the number of terms, which max_terms sets, keeps the frequent ones and so
-takes away the rare ones that tell texts apart and keep the join's lists short.
+All grams of two texts and more count.
 
 Texts that are alike after normalisation are one node, named by its smallest rec_id; copies aren't expanded into pairs.
 SQL would pair every text with every other, so brute force over a fixture holds these in the tests.
@@ -25,31 +24,34 @@ NEAR = 0.9
 
 def nodes(docs: DataFrame, text) -> tuple[DataFrame, DataFrame]:
     """(rows (rec_id, true_class, split, id), texts (id, text)) of rows that aren't blank; id names the distinct text."""
-    keyed = docs.select("rec_id", "true_class", "split", text.alias("text")).where("rec_id IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''").withColumn("h", F.xxhash64("text", F.md5("text")))
-    named = keyed.groupBy("h").agg(F.min("rec_id").alias("id"))
-    rows = cut(keyed.select("rec_id", "true_class", "split", "h").join(named, "h").drop("h"), "rows")
-    texts = keyed.join(named, "h").where(F.col("rec_id") == F.col("id")).select("id", "text").dropDuplicates(["id"])
-    return rows, texts
-
-
-def train_test_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int | None = None) -> DataFrame:
+    # the normal form is written once: a filter on it would be moved below the dealing out of rows, and be taken again
+    made = cut(docs.where("rec_id IS NOT NULL AND text IS NOT NULL").select("rec_id", "true_class", "split", text.alias("text")), "normal")
+    keyed = made.where("trim(text) <> ''").withColumn("h", F.xxhash64("text", F.md5("text")))
+    named = cut(keyed.groupBy("h").agg(F.min("rec_id").alias("id")), "named")
+    rows = cut(keyed.select("rec_id", "true_class", "split", "h").join(named, "h").select("rec_id", "true_class", "split", "id"), "rows")
+    # texts are read from the normal form again and again, and shuffled only if ids stand several times
+    first = keyed.join(C.sent(named.select(F.col("id").alias("rec_id"))), "rec_id", "left_semi").select(F.col("rec_id").alias("id"), F.lower("text").alias("text"))  # its white space is folded already
+    if keyed.groupBy("rec_id").count().where("count > 1").isEmpty():
+        return rows, first
+    return rows, cut(first.dropDuplicates(["id"]), "texts")
+
+
+def train_test_pairs(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     """(train_id, test_id, cosine, n_train, n_test): pairs of a text of train and one of test at the threshold or above;
     the ids are the first rows that have it, beside how many do. A text in both is a pair of its own."""
     rows, texts = nodes(docs.where("split IN ('train', 'test')"), T.fold_space(F.lower("text")))
     sides = cut(rows.groupBy("id").agg(*(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "test")), *(F.min(F.when(F.col("split") == s, F.col("rec_id"))).alias(f"{s}_id") for s in ("train", "test"))), "sides")
-    v = cut(C.vectors(C.char_gram_rows(texts), threshold, max_terms=max_terms, sublinear=False).join(sides.select("id", "n_train", "n_test"), "id"), "tfidf")
-    found = C.cosine_join(v, threshold, F.col("n_train") > 0, F.col("n_test") > 0)
+    found = C.cosine_join(texts, threshold, False, sides.where("n_train > 0").select("id"), sides.where("n_test > 0").select("id"))
     same = sides.where("n_train > 0 AND n_test > 0").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
     train = sides.where("n_train > 0").select(F.col("id").alias("a"), "train_id", "n_train")
     test = sides.where("n_test > 0").select(F.col("id").alias("b"), "test_id", "n_test")
     return found.union(same).join(train, "a").join(test, "b").select("train_id", "test_id", F.bround("cosine", 4).alias("cosine"), "n_train", "n_test")
 
 
-def near_pairs(docs: DataFrame, threshold: float = NEAR, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
     """(rows as of `nodes`, pairs (a, b, cosine)) over template texts."""
     rows, texts = nodes(docs, T.template_text(F.col("text")))
-    v = cut(C.vectors(C.char_gram_rows(texts), threshold, max_terms=max_terms), "tfidf")
-    return rows, C.cosine_join(v, threshold)
+    return rows, C.cosine_join(texts, threshold)
 
 
 @query()

@@ -223,3 +223,20 @@ def test_padding(spark):
     assert [len(r.ids) for r in rows] == [6, 6, 6]
     assert [sum(r.mask) for r in rows] == [6, 2, 2] and [r.truncated for r in rows] == [True, False, False]
     assert rows[0].ids[0] == rows[1].ids[0] and rows[1].ids[1] == rows[0].ids[5] == rows[0].ids[0] + 1 and rows[1].ids[2:] == [rows[0].ids[0] + 2] * 4
+
+
+def test_cosine_join_in_parts(spark, docs, monkeypatch):
+    """Terms and texts in many small parts give the pairs that one part gives, with sides and without."""
+    rows, _ = docs
+    texts = {" ".join(t.lower().split()): i for i, t, *_ in rows if t and t.strip()}
+    df = spark.createDataFrame([(i, t) for t, i in texts.items()], "id bigint, text string").repartition(3)
+    v = brute({i: t for t, i in texts.items()}, True)
+    want = {(a, b): dot(v[a], v[b]) for a in v for b in v if a != b and dot(v[a], v[b]) >= 0.7}
+    some, other = (spark.createDataFrame([(i,) for i in v if i % 3 in k], "id bigint") for k in ((0, 1), (1, 2)))
+    for terms, many in ((2_000_000, 32_000), (1500, 20)):
+        monkeypatch.setattr(C, "PART_TERMS", terms)
+        monkeypatch.setattr(C, "PART_TEXTS", many)
+        got = {(r.a, r.b): r.cosine for r in C.cosine_join(df, 0.7).collect()}
+        assert got.keys() == {p for p in want if p[0] < p[1]} and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+        got = {(r.a, r.b) for r in C.cosine_join(df, 0.7, True, some, other).collect()}
+        assert got == {(a, b) for a, b in want if a % 3 != 2 and b % 3 != 0}

@@ -3,17 +3,13 @@
 Answers are normalised to the classes of the taxonomy. How often two annotators agree on the items both answered,
 corrected for chance, is the product of their two reliabilities; so that of three annotators' pairwise agreements each
 one's reliability can be solved: q_i^2 = k_ij k_ik / k_jk. An annotator's estimate is the weighted median over all
-triplets with two of the PARTNERS annotators who answered most, so that work grows with the pool, not with its cube.
+triplets with two others; all of them count, and their work is spread over the executors.
 Votes then count by their log-odds.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgrain.session import cut
@@ -29,8 +25,12 @@ KEYWORDS = {
     7: ("dating", "romance", "extortion"),
     8: ("telecom", "legacy"),
 }
-#: How many annotators, those who answered most, stand as partners in the triplets of all; fewest items in common.
-PARTNERS, LEAST_COMMON = 200, 10
+#: If set, how many annotators, those who answered most, stand as partners in the triplets of all; None takes all.
+PARTNERS: int | None = None
+#: Fewest items in common.
+LEAST_COMMON = 10
+#: Classes that an answer may name.
+CLASSES = 8
 
 
 def class_no(answer: Column) -> Column:
@@ -57,11 +57,11 @@ def answers(first_two: DataFrame, sheets: DataFrame) -> DataFrame:
     return rows.groupBy("blind_id", "annotator").agg(last).select("blind_id", "annotator", class_no(F.col("last.category")).alias("class_no")).where("class_no IS NOT NULL")
 
 
-def agreements(given: DataFrame, partners: DataFrame) -> DataFrame:
-    """(a, b, n, agree): of each annotator a and each other annotator b among the partners (annotator), items in common
-    and equal answers. An item meets its partners' answers alone, of which it has one each, and they are bounded."""
+def agreements(given: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+    """(a, b, n, agree): of each annotator a and each other annotator b, if given among the partners (annotator), items in
+    common and equal answers."""
     a = given.select("blind_id", F.col("annotator").alias("a"), F.col("class_no").alias("ca"))
-    b = given.join(F.broadcast(partners.select("annotator")), "annotator").select("blind_id", F.col("annotator").alias("b"), F.col("class_no").alias("cb"))
+    b = (given if partners is None else given.join(F.broadcast(partners.select("annotator")), "annotator")).select("blind_id", F.col("annotator").alias("b"), F.col("class_no").alias("cb"))
     both = a.join(b, "blind_id").where("a <> b")
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("ca") == F.col("cb")).cast("bigint")).alias("agree"))
 
@@ -74,40 +74,33 @@ def kappas(pairs: DataFrame, shares: DataFrame) -> DataFrame:
     return pairs.where(F.col("n") >= LEAST_COMMON).join(x, "a").join(y, "b").select("a", "b", "n", F.greatest(k, F.lit(0.01)).alias("kappa"))
 
 
-def solve(own: list[tuple[str, int, float]], among: dict[tuple[str, str], tuple[int, float]], classes: int = 8) -> float:
-    """An annotator's probability of a right answer, from (partner, items, kappa) and the partners' own pairs."""
-    q = 0.5
-    if own:
-        index = {b: i for i, (b, _, _) in enumerate(own)}
-        n, kappa = np.array([x[1] for x in own], float), np.array([x[2] for x in own], float)
-        between = [(index[b], index[c], m, k) for b in index for c in index if b < c and (got := among.get((b, c))) for m, k in (got,)]
-        if between:
-            j, k, m, kjk = (np.array(x) for x in zip(*between))
-            value = np.clip(kappa[j] * kappa[k] / kjk, 1e-4, 1)
-            weight = np.minimum(np.minimum(n[j], n[k]), m)
-            order = np.argsort(value, kind="stable")
-            q = math.sqrt(value[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
-        else:  # no triplet: the mean agreement with whomever there is, or an even guess
-            q = math.sqrt(float(kappa.mean()))
-    return min(max((q * (classes - 1) + 1) / classes, 1 / classes + 0.01), 0.995)
+def medians(pairs: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+    """(annotator, median): the weighted median of q^2 over all triplets of an annotator and two others who share items."""
+    among = pairs.where("a < b").select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("nbc"), F.col("kappa").alias("kbc"))
+    if partners is not None:
+        among = among.join(F.broadcast(partners.select(F.col("annotator").alias("b"))), "b")
+    x = pairs.select("a", "b", F.col("n").alias("nb"), F.col("kappa").alias("kb"))
+    y = pairs.select("a", F.col("b").alias("c"), F.col("n").alias("nc"), F.col("kappa").alias("kc"))
+    value = F.least(F.greatest(F.col("kb") * F.col("kc") / F.col("kbc"), F.lit(1e-4)), F.lit(1.0))
+    found = x.join(y, "a").where("b < c").join(among, ["b", "c"]).groupBy("a", value.alias("value")).agg(F.sum(F.least("nb", "nc", "nbc")).alias("w"))
+    whole = Window.partitionBy("a")
+    upto = F.sum("w").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    told = found.select("a", "value", upto.alias("upto"), F.sum("w").over(whole).alias("total"))
+    return told.where("2 * upto >= total").groupBy(F.col("a").alias("annotator")).agg(F.min("value").alias("median"))
 
 
 def reliabilities(given: DataFrame) -> DataFrame:
     """(annotator, n_answers, accuracy, weight): the reliability of each annotator and what a vote of theirs counts."""
     counts = given.groupBy("annotator").agg(F.count("*").alias("n_answers"), *(F.sum((F.col("class_no") == c).cast("int")).alias(f"c{c}") for c in range(1, 9)))
     counts = cut(counts.select("annotator", "n_answers", F.array(*(F.col(f"c{c}") / F.col("n_answers") for c in range(1, 9))).alias("share")), "annotators")
-    partners = counts.orderBy(F.desc("n_answers"), "annotator").limit(PARTNERS)
+    partners = cut(counts.orderBy(F.desc("n_answers"), "annotator").limit(PARTNERS), "partners") if PARTNERS else None
     pairs = cut(kappas(agreements(given, partners), counts.select("annotator", "share")), "agreements")
-    few = pairs.join(F.broadcast(partners.select(F.col("annotator").alias("a"))), "a")  # at most PARTNERS squared
-    among = {(r.a, r.b): (r.n, r.kappa) for r in few.collect()}
-    each = counts.join(pairs.groupBy(F.col("a").alias("annotator")).agg(F.collect_list(F.struct("b", "n", "kappa")).alias("own")), "annotator", "left").select("annotator", "n_answers", "own")
-
-    def run(batches):
-        for batch in batches:
-            p = [solve(sorted((x["b"], x["n"], x["kappa"]) for x in own or ()), among) for own in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array([math.log(x * 7 / (1 - x)) for x in p], pa.float64())], ["annotator", "n_answers", "accuracy", "weight"])
-
-    return each.mapInArrow(run, "annotator string, n_answers bigint, accuracy double, weight double")
+    mean = pairs.groupBy(F.col("a").alias("annotator")).agg(F.avg("kappa").alias("mean"))
+    # without a triplet the mean agreement with whomever there is, or an even guess
+    q = F.coalesce(F.sqrt("median"), F.sqrt("mean"), F.lit(0.5))
+    p = F.least(F.greatest((q * (CLASSES - 1) + 1) / CLASSES, F.lit(1 / CLASSES + 0.01)), F.lit(0.995))
+    each = counts.join(medians(pairs, partners), "annotator", "left").join(mean, "annotator", "left").select("annotator", "n_answers", p.alias("accuracy"))
+    return each.withColumn("weight", F.log(F.col("accuracy") * (CLASSES - 1) / (1 - F.col("accuracy"))))
 
 
 def consensus(first_two: DataFrame, sheets: DataFrame) -> DataFrame:

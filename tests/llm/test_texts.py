@@ -215,6 +215,27 @@ def test_few_partners_are_enough(spark, monkeypatch):
     assert whole["a0"] < whole["a4"] < whole["a8"]
 
 
+def test_all_partners_count(spark):
+    """With more annotators than 200 each reliability is that of all triplets."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    truth, n = r.integers(1, 9, 14), 206
+    said = np.array([np.where(r.random(14) < (0.95 if k % 3 else 0.5), truth, r.integers(1, 9, 14)) for k in range(n)])
+    rows = [(f"i{i}", f"a{k:03}", str(said[k, i]), datetime(2031, 1, 2)) for k in range(n) for i in range(14)]
+    first = spark.createDataFrame([], "blind_id string, a1_cat string, a2_cat string")
+    got = {x.annotator: x.accuracy for x in consensus.reliabilities(consensus.answers(first, sheets(spark, rows))).collect()}
+    share = np.array([(said == c).mean(1) for c in range(1, 9)]).T
+    chance = share @ share.T
+    kappa = np.maximum(((said[:, None] == said[None]).mean(2) - chance) / np.maximum(1 - chance, 1e-9), 0.01)
+    for a in range(n):
+        b, c = np.triu_indices(n, 1)
+        keep = (b != a) & (c != a)
+        value = np.sort(np.clip(kappa[a, b] * kappa[a, c] / kappa[b, c], 1e-4, 1)[keep])
+        q = np.sqrt(value[-(-len(value) // 2) - 1])
+        assert abs(got[f"a{a:03}"] - min(max((q * 7 + 1) / 8, 0.135), 0.995)) < 1e-9
+
+
 def test_consensus_tells_agreement(spark):
     df = spark.createDataFrame([("a", "1", "1"), ("b", "1", "2"), ("c", "3", None)], "blind_id string, a1_cat string, a2_cat string")
     got = {x.blind_id: (x.n_answers, x.n_classes, x.agreement) for x in consensus.consensus(df, sheets(spark, [])).collect()}

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from collections import Counter
 
@@ -277,3 +278,20 @@ def test_counted_grams_of_many_batches():
                 counted.fold()
         (gram, n, least), = counted.take()
         assert dict(zip(gram.tolist(), zip(n.tolist(), least.tolist()))) == want
+
+
+def test_one_part_at_a_time_on_disk(spark, docs, monkeypatch):
+    """What is sent of texts is removed again before the next part is sent."""
+    sent, made = [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        held = made(value)
+        if isinstance(value, C.Lengths):
+            assert not any(os.path.exists(path) for path in sent)
+            sent.append(held._path)
+        return held
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(C, "PART_TEXTS", 20)
+    assert leaks.train_test_pairs(docs[1], 0.8).count() > 0
+    assert len(sent) > 1 and not any(os.path.exists(path) for path in sent)

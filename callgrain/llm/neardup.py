@@ -26,7 +26,7 @@ def near_bags(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     seen = coded.where("bag IS NOT NULL").drop("element", "n")
     ids = seen.groupBy("bag").agg(F.min("row_id").alias("bag_id"))
     lists = bags.lists(texts, ids.select("bag_id"), common, counts / max(total, 1))
-    pairs = cut(bags.meetings(lists, lists, ordered=True), "candidates")
+    pairs = cut(bags.own_meetings(lists), "candidates")
     pairs = cut(bags.verified(pairs, texts, THRESHOLD), "pairs")
     rows = layout.classes(seen.select("row_id", "seq", "root", "bag")).join(ids, "bag").select("row_id", "bag_id", "cls")
     return cut(rows, "rows"), pairs

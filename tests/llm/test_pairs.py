@@ -6,11 +6,13 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from callgrain.llm import layout
+from callgrain.llm import bags, layout
 from callgrain.llm import textcodes as tc
 from callgrain.llm.layout import content_groups, parse_record
 from callgrain.llm.neardup import near_groups, near_pairs
@@ -204,3 +206,38 @@ def test_near_groups(corpus):
     got = near_groups(df, "rec_id", "text").collect()
     assert sorted((r.rec_id, r.group_id, r.n_links) for r in got) == sorted((i, group[i], n) for i, n in links.items())
     assert near_groups(df.limit(0), "rec_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("rows_a_batch", [7, 5000])
+def test_pairs_within_lists(rows_a_batch):
+    """Lists over many batches, long and short: each pair that may overlap comes out once a list, but not one of two texts
+    that stand there for larger ones alone."""
+    r = np.random.default_rng(5)
+    entries = []
+    for value, size in enumerate([1, 2, 3, 40, bags.SHORT, bags.SHORT + 1, 700, 1, 5]):
+        base = r.integers(-(2**63), 2**63, 4)
+        for i in r.permutation(1000)[:size]:
+            code = base ^ (np.int64(1) << r.integers(0, 64, 4)) if r.random() < 0.5 else r.integers(-(2**63), 2**63, 4)
+            n = int(r.integers(80, 140))
+            entries.append((value - 4, int(i), -n if r.random() < 0.3 else n, *map(int, code)))
+    entries.sort(key=lambda x: (x[0], -x[2]))
+    want = Counter()
+    for x, y in combinations(entries, 2):
+        n, m = abs(x[2]), abs(y[2])
+        apart = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x[3:], y[3:]))
+        if x[0] == y[0] and (x[2] > 0 or y[2] > 0) and 5 * n >= 4 * m and 5 * m >= 4 * n and 9 * apart <= n + m:
+            want[min(x[1], y[1]), max(x[1], y[1])] += 1
+    table = pa.table({"value": [x[0] for x in entries], "bag_id": [x[1] for x in entries], "n": pa.array([x[2] for x in entries], pa.int32())} | {c: pa.array([x[3 + k] for x in entries], pa.int64()) for k, c in enumerate(bags.CODES)})
+    got = Counter(p for b in bags._met(table.combine_chunks().to_batches(rows_a_batch)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    assert got == want and len(want) > 1000
+
+
+def test_lists_for_larger_texts():
+    """A text of which no partner reaches the next band of sizes stands in lists of its own band alone."""
+    common = np.sort(tc.bags_of([" ".join(f"c{i}" for i in range(400))]).element)
+    share = np.full(len(common), 0.5)
+    for n in range(20, 300, 7):
+        b = tc.bags_of([" ".join(f"c{i}" for i in range(n))])
+        doc, value, top, low = bags.lists_of(b, 1, common, share)
+        band = np.searchsorted(bags._BANDS, n, "right")
+        assert low.any() == (5 * n // 4 >= bags._BANDS[band]) and set(top[~low]) == {bags._BANDS[band] - 1}

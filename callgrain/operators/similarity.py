@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from callgrain.session import cut
 
 #: Most rounds of label propagation; a round halves what is left of the paths.
 MOST_ROUNDS = 60
+#: Most edges whose components are found in the driver.
+FEW_EDGES = 200_000
 
 
 def word_grams(tokens: Column, most: int) -> Column:
@@ -90,10 +94,13 @@ def cosine_pairs(vectors: DataFrame, threshold: float, rare: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (a, b): the least node of each component.
 
-    Alternates large-star and small-star rounds until nothing changes; each round is written to the shared folder.
+    Few edges are joined in the driver. More alternate large-star and small-star rounds until nothing changes; each round
+    is written to the shared folder.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e, "edges")
+    if all(kind == "bigint" for _, kind in e.dtypes) and (few := e.limit(FEW_EDGES + 1).toArrow()).num_rows <= FEW_EDGES:
+        return edges.sparkSession.createDataFrame(_joined(few.column("a").to_numpy(), few.column("b").to_numpy()), "node bigint, component bigint")
     seen = None
     for _ in range(MOST_ROUNDS):
         both = e.union(e.select("b", "a"))
@@ -111,3 +118,20 @@ def components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"components aren't done after {MOST_ROUNDS} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.join(e.select(F.col("a").alias("node")), "node", "left_anti")).distinct()
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """(node, component) of edges (a, b)."""
+    node, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    least = np.arange(len(node))
+    while True:
+        new = least.copy()
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(new, least[x], low)
+        np.minimum.at(new, least[y], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, least):
+            return pa.table({"node": node, "component": node[least]})
+        least = new

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def test_components_of_a_long_path(spark):
     assert got == {0}
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """Components of few edges come from the driver, the same as those of the rounds, and no rounds are run for them."""
+    r = random.Random(9)
+    edges = [(r.randrange(3000) - 1000, r.randrange(3000) - 1000) for _ in range(1400)] + [(5, 5), (7, 6), (7, 6)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    monkeypatch.setattr(S, "FEW_EDGES", 0)
+    want = {r.node: r.component for r in S.components(df).collect()}
+    monkeypatch.setattr(S, "FEW_EDGES", 200_000)
+    monkeypatch.setattr(S, "MOST_ROUNDS", 0)
+    got = S.components(df).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want) > 1000
+
+
 def test_components_of_nothing(spark):
     assert S.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 

@@ -16,13 +16,15 @@ from callgrain.operators.similarity import components
 from callgrain.session import cut
 
 THRESHOLD = 0.8
+#: Share of bags above which an element is common here: more entries in lists than at `bags.COMMON`, half the pairs.
+COMMON = 1 / 400
 
 
 def near_bags(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (row_id, bag_id, cls), and pairs (a, b) of bag ids that overlap by THRESHOLD and more."""
     texts = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text")).where("row_id IS NOT NULL AND text IS NOT NULL")
     coded = cut(texts.mapInArrow(digester, SCHEMA), "digests")
-    common, counts, total = bags.common_elements(coded.where("element IS NOT NULL").select("element", "n"), bags.COMMON, bags.COMMON_LEAST)
+    common, counts, total = bags.common_elements(coded.where("element IS NOT NULL").select("element", "n"), COMMON, bags.COMMON_LEAST)
     seen = coded.where("bag IS NOT NULL").drop("element", "n")
     ids = seen.groupBy("bag").agg(F.min("row_id").alias("bag_id"))
     lists = bags.lists(texts, ids.select("bag_id"), common, counts / max(total, 1))

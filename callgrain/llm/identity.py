@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ BEFORE, AFTER, MOST_WORDS = 60, 40, 14
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 #: Given names that start the bootstrap. Fixed values.
-SEED_NAMES = "ankit deepak elena hannah imran kavya lucia martin sunita vikram".split()
+SEED_NAMES = frozenset("ankit deepak elena hannah imran kavya lucia martin sunita vikram".split())
 #: Forms of identity numbers that start it: A for letters, 0 for digits. Fixed values.
 SEED_IDS = ("000-00-0000", "0000 0000 0000")
 #: Words that make a name a firm's. Fixed values.
@@ -49,8 +50,10 @@ SPELLED = re.compile(
     r"[\w.+-]+\s?[\[(]\s?at\s?[\])]\s?[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*"
     r"|[\w+-]+(?:\s+dot\s+[\w+-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+"
 )
-NUMBER = re.compile(r"[+(]?\d(?:[ ()\-]{0,2}\d){3,}")
+#: A plus or bracket before it belongs to it; a pattern that begins with a digit is searched for faster.
+NUMBER = re.compile(r"\d(?:[ ()\-]{0,2}\d){3,}")
 SPOKEN = re.compile(rf"(?:{DIGIT_WORDS})(?:[\s,.-]+(?:{DIGIT_WORDS})\b){{6,}}")
+_EACH_DIGIT = tuple(DIGIT_WORDS.split("|"))
 _DIGIT_WORD = re.compile(rf"(?:{DIGIT_WORDS})[,.-]*")
 #: Layouts of addresses that start the bootstrap.
 SEED_ADDRESS = re.compile(
@@ -77,11 +80,14 @@ def numbers(text: str) -> list[tuple[str, int, int]]:
     out = []
     size = len(text)
     for m in NUMBER.finditer(text):
-        a, b = m.span()
+        begin, b = m.span()
+        if begin and text[begin - 1] in "+(":
+            begin -= 1
+        a = begin
         if b - a < 7 and not (a and text[a - 1].isalpha()) and not text[b : b + 1].isalpha():
             continue
         if text[a].isdigit():
-            while a and text[a - 1].isascii() and text[a - 1].isalpha() and m.start() - a < 6:
+            while a and text[a - 1].isascii() and text[a - 1].isalpha() and begin - a < 6:
                 a -= 1
         if b < size and text[b].isascii() and text[b].isalpha():
             b += 1
@@ -93,6 +99,22 @@ def numbers(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+@lru_cache(8)
+def _scan_for(words: tuple[str, ...]):
+    """An automaton over a few strings, which reads a text once for all of them."""
+    import ahocorasick
+
+    scan = ahocorasick.Automaton()
+    for w in words:
+        scan.add_word(w, 1)
+    scan.make_automaton()
+    return scan
+
+
+def _holds(low: str, words: tuple[str, ...]) -> bool:
+    return next(_scan_for(words).iter(low), None) is not None
+
+
 def _addresses(low: str) -> list[tuple[str, int, int]]:
     return [("street_address", *m.span()) for m in SEED_ADDRESS.finditer(low) if not m.start() or not (low[m.start() - 1].isalnum() or low[m.start() - 1] == "_")]
 
@@ -102,11 +124,16 @@ def seeds(text: str, low: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     if "@" in low:
         out += [("email", *m.span()) for m in MAIL.finditer(low)]
-    if any(w in low for w in _STREETS):
+    if _holds(low, _STREETS):
         out += _addresses(low)
     return out
 
 
+def _digit_words(low: str) -> int:
+    """How often digits in words stand in a text, as parts of other words too."""
+    return sum(1 for _ in _scan_for(_EACH_DIGIT).iter(low))
+
+
 def spelled(low: str, digits: int = 7) -> list[tuple[str, str, int, int]]:
     """(type, form, start, end) of mail and numbers that are spelled out; digits: at most so many digits in words."""
     out = []
@@ -126,19 +153,27 @@ _DIGITS = re.compile(r"\d+")
 _EDGES = ".,;:!?।\"'“”«»()[]{}*¿¡-…"
 
 
+@lru_cache(1 << 16)
 def _core(token: str) -> str:
     if token.isalpha():
         return token.lower()
     return _DIGITS.sub("0", token.lower().strip(_EDGES))
 
 
+@lru_cache(1 << 16)
+def _stops(token: str) -> tuple[bool, bool]:
+    """Whether a token that isn't a word ends what stands before it, and whether it does so next to an entity alone."""
+    return len(token) > 2 and _ENDS.search(token) is not None, token[-1] in ":>]-"
+
+
 def context(text: str, start: int, end: int) -> tuple[str, str]:
     """Two words before and one after, lower case; <s> and </s> where a sentence or line begins or ends."""
     before = text[max(0, start - BEFORE) : start]
-    left = []
-    for t in reversed(before[before.rfind("\n") + 1 :].split()):
+    left: list[str] = []
+    for t in before[before.rfind("\n") + 1 :].split()[::-1]:
         if not t.isalpha():
-            if (len(t) > 2 and _ENDS.search(t)) or (t[-1] in ":>]-" and len(left) < 2):
+            ends, near = _stops(t)
+            if ends or (near and len(left) < 2):
                 break
             t = _core(t)
             if not t:
@@ -146,13 +181,15 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
         left.append(t)
         if len(left) == 2:
             break
-    after = text[end : end + AFTER].split("\n", 1)[0].lstrip()
+    after = text[end : end + AFTER].partition("\n")[0].lstrip()
     right = "</s>"
     if after and after[0] not in ".!?।":
-        for t in after.split():
-            if c := _core(t):
-                right = c
-                break
+        while after:
+            t, _, after = after.partition(" ")
+            for t in t.split():
+                if c := _core(t):
+                    right, after = c, ""
+                    break
     return (f"{left[1]} {left[0]}" if len(left) > 1 else left[0] if left else "<s>").lower(), right
 
 
@@ -189,6 +226,14 @@ def form_of(address: str, keywords: frozenset[str] = frozenset()) -> str:
     return re.sub(r"[^\W_]+", lambda m: w if (w := m.group().lower()) in keywords else re.sub(r"[^\W\d_]+", "W", re.sub(r"\d+", "0", w)), _SPACE.sub(" ", address.strip()))
 
 
+@lru_cache(1 << 16)
+def _name_words(name: str) -> tuple[str, str, bool, bool]:
+    """Of capitalised words: the first, the last, whether a second one stands there that isn't an initial, whether they can
+    be a person's."""
+    words = name.lower().split()
+    return words[0], words[-1], len(words) > 1 and not words[1].endswith("."), words[-1] not in FIRM
+
+
 def candidates(text: str) -> list[tuple[str, str, str, str, bool]]:
     """(type, context, form, instance, seed) edges of a text for the graph; instances of addresses alone are told."""
     out = []
@@ -198,7 +243,7 @@ def candidates(text: str) -> list[tuple[str, str, str, str, bool]]:
     found = seeds(text, low)
     for kind, a, b in found:
         out.append((kind, context(text, a, b), "mail" if kind == "email" else form_of(low[a:b]), low[a:b] if kind == "street_address" else "", True))
-    for kind, form, a, b in spelled(low):
+    for kind, form, a, b in spelled(low, _digit_words(low)):
         out.append((kind, context(text, a, b), form, "", False))
     for form, a, b in numbers(text):
         where = context(text, a, b)
@@ -208,26 +253,28 @@ def candidates(text: str) -> list[tuple[str, str, str, str, bool]]:
         a, b = around(text, m.end() - 2)
         if b <= m.end() or any(x < b and a < y for _, x, y in found):
             continue
-        out.append(("street_address", context(text, a, b), form_of(low[a:b]), low[a:b], False))
+        where = context(text, a, b)
+        out.append(("street_address", where, form_of(low[a:b]), low[a:b], False))
         first = text[a:b].split(None, 1)
-        if context(text, a, b)[0] == "<s>" and len(first) > 1 and first[0].isalpha():  # the first word may begin the sentence
+        if where[0] == "<s>" and len(first) > 1 and first[0].isalpha():  # the first word may begin the sentence
             a = b - len(first[1])
             out.append(("street_address", context(text, a, b), form_of(low[a:b]), low[a:b], False))
     for m in NAMED.finditer(text):
-        if m.start() and ((c := text[m.start() - 1]).isalnum() or c in "_@."):
+        a, b = m.span()
+        if a and ((c := text[a - 1]).isalnum() or c in "_@."):
             continue
-        words = m.group().lower().split()
-        if words[-1] in FIRM or not FIRM.isdisjoint(text[m.end() : m.end() + 14].lower().split()[:1]):
+        given, last, two, person = _name_words(m.group())
+        if not person or ((after := text[b : b + 14].split(None, 1)) and after[0].lower() in FIRM):
             continue
-        where = context(text, *m.span())
-        out.append(("person_name", where, words[0], words[-1] if m.group(3) else "", words[0] in SEED_NAMES))
-        if where[0] == "<s>" and len(words) > 1 and not words[1].endswith("."):  # the first word may begin the sentence
+        where = context(text, a, b)
+        out.append(("person_name", where, given, last if m.end(3) > m.start(3) else "", given in SEED_NAMES))
+        if two and where[0] == "<s>":  # the first word may begin the sentence
             tail = NAMED.match(text, m.start() + len(m.group(1)) + len(_BLANK.match(text, m.end(1)).group()))
             if tail and tail.group().lower().split()[-1] not in FIRM:
                 got = tail.group().lower().split()
                 right = context(text, *tail.span())[1]
                 if right not in FIRM:
-                    out.append(("person_name", (words[0], right), got[0], got[-1] if tail.group(3) else "", got[0] in SEED_NAMES))
+                    out.append(("person_name", (given, right), got[0], got[-1] if tail.group(3) else "", got[0] in SEED_NAMES))
     return out
 
 
@@ -365,9 +412,9 @@ class Model:
         out = [("email", *m.span()) for m in MAIL.finditer(low)] if "@" in low else []
         out += [(kind, a, b) for kind, form, a, b in spelled(low, digits) if self.forms.get(form) == kind]
         out += [(kind, a, b) for form, a, b in numbers(text) if (kind := self.forms.get(form))]
-        if self.layouts and any(w in low for w in self.needed):
+        if self.layouts and _holds(low, self.needed):
             out += [("street_address", *m.span()) for m in self.layouts.finditer(low)]
-        if any(w in low for w in _STREETS):
+        if _holds(low, _STREETS):
             out += _addresses(low)
         for at, left in lefts:
             begin = _BETWEEN.match(low, at).end()

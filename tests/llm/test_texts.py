@@ -440,3 +440,14 @@ def test_mock_text_of_unknown_words(spark):
     rows += [(100 + i, "caller: " + r.choice(speech) + " " + r.choice(speech), "ab"[i % 2], 1) for i in range(60)]
     rows += [(200, "caller: " + " ".join(mock[:3]) + " the person said that you must pay for it", "a", 1), (201, "one two three four five six", "a", 1)]
     assert residue_of(spark, rows) == {i: ("filler", "words") for i in range(12)}
+
+
+def test_candidates_take_each_context_once(monkeypatch):
+    """The context of a place is taken once, and numbers keep the plus or bracket before them."""
+    taken, plain = [], identity.context
+    monkeypatch.setattr(identity, "context", lambda text, a, b: taken.append((a, b)) or plain(text, a, b))
+    text = "please send it to our new Flat 12B, Rosen Gate 4, Sonagarh today."
+    assert "street_address" in {e[0] for e in identity.candidates(text)}
+    assert len(taken) == len(set(taken))
+    assert [(f, text[a:b]) for text in ("at +49 30 1234567.", "at (030) 1234567 now", "code AB12345678x") for f, a, b in identity.numbers(text)] == [
+        ("+00 00 0000000", "+49 30 1234567"), ("(000) 0000000", "(030) 1234567"), ("AA00000000A", "AB12345678x")]
